@@ -92,7 +92,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
@@ -117,7 +117,7 @@ def _geometric(base: int, n: int) -> np.ndarray:
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (`[^\\x20\\x09-\\x0D]+`) of `docs`, in order,
     and the index of each document's first word, with the total at the end.
-    Memory is that of one document, or of two million bytes if that is more."""
+    Memory is that of one document, or of 2**18 bytes if that is more."""
     hashes, counts, group, size = [], [], [], 0
     for doc in [*docs, None]:
         if group and (doc is None or size + len(doc) > _CHUNK):

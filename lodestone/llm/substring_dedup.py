@@ -54,7 +54,7 @@ def _ids(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about `limit` bytes at most, or of one row."""
     for batch in batches:
         step = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
