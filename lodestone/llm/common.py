@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most `rows` rows from now on: texts are long, and both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, release, runs, table, texts, word_hashes
+from .common import NULL_ID, Scratch, release, runs, small_batches, table, texts, word_hashes
 
 WINDOW, SEED = 13, 5
 
@@ -144,6 +144,7 @@ def _strip(window: int, seed: int):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left) of each row of `docs`."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rank = F.coalesce("doc_id", F.lit(NULL_ID))
