@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality, sharding, simhash, substring_dedup
+from . import bpe, decontamination, line_dedup, quality, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_bpe": bpe.op3_bpe,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
-ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
