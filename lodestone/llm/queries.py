@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, line_dedup, quality, sharding, simhash, substring_dedup
+from . import bpe, decontamination, language_id, line_dedup, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_bpe": bpe.op3_bpe,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_language_id": language_id.op6_language_id,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
