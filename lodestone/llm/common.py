@@ -47,6 +47,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sealed(df: DataFrame, columns: dict) -> DataFrame:
+    """`df` with computed `columns` that later filters read as they are. Without this a filter on them would be
+    pushed below them with each expression written out again in place of its name."""
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 class Scratch:
     """Parquet tables of one operator run in the shared folder."""
 

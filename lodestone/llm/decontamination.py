@@ -26,10 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import small_batches, table, texts
 
 WINDOW = 10
+NEW = ["n_words", "spans", "items", "clean"]
 #: Symbols of a shard, words between sampled suffixes, bytes of a block of the benchmark.
 SHARD, SAMPLE, BLOCK = 1 << 19, 8, 8 << 20
 #: a-z, 0-9 and all bytes of other scripts stay, A-Z become small, the rest splits.
@@ -238,8 +240,9 @@ def _blocks(benchmark: DataFrame, limit: int) -> list:
 _READY: dict = {}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, spans (of words, start and end), items and clean (the text without the spans) of each row of `docs`."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD, block: int = BLOCK, keep: bool = False) -> DataFrame:
+    """doc_id, n_words, spans (of words, start and end), items and clean (the text without the spans, null if there are none)
+    of each row of `docs`; with `keep`, before them all other columns of `docs`."""
     small_batches(docs.sparkSession)
     sent, run_id = _blocks(benchmark, block), uuid.uuid4().hex
 
@@ -257,18 +260,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             found = list(spans(rows, phrases, window, shard))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *(batch.columns if keep else batch.columns[:1]),
                     pa.array([n for _, n, _, _ in found], pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for _, _, s, _ in found], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))),
                     pa.array([x for *_, x in found], pa.list_(pa.string())),
                     pa.array([cut(rows[i], s) if s else None for i, _, s, _ in found], pa.binary()).cast(pa.string()),
                 ],
-                ["doc_id", "n_words", "spans", "items", "clean"],
+                [*(batch.schema.names if keep else ["doc_id"]), *NEW],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, clean string")
-    return out
+    docs = docs.drop(*NEW)
+    docs = docs.select("doc_id", "text", *[c for c in docs.columns if keep and c not in ("doc_id", "text")])
+    kinds = StructType(docs.schema.fields if keep else docs.schema.fields[:1])
+    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kinds)}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, clean string")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

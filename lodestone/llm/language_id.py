@@ -200,7 +200,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None
     fitted = {r.lang: r.p for r in counts.groupBy("lang").applyInArrow(fit_language, "lang string, p array<double>").collect()}
     languages = [x for x in languages if x in fitted]
     whole = sum(n[x] for x in languages)
-    return Model(pieces, languages, np.array([fitted[x] for x in languages]).reshape(len(languages), -1), np.log(np.array([n[x] / whole for x in languages])))
+    return Model(pieces, languages, np.array([fitted[x] for x in languages]), np.log(np.array([n[x] / whole for x in languages])))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table
+from .common import SPACES, sealed, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,7 +42,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     joined = rows.join(gone.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(gone["_id"]) & (F.col("_k") == F.col("_text")), "left").drop("_id", "_text", "_k")
     joined = joined.withColumn("_lines", F.split("_t", "\n", -1))
     joined = joined.withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
-    out = joined.withColumns({
+    out = sealed(joined, {
         "n_lines": F.size("_lines").cast("long"),
         "n_dropped": F.when(F.col("_stay").isNull(), 0).otherwise(F.size("_lines") - F.size("_stay")).cast("long"),
         "kept": F.when(F.col("_stay").isNull(), F.col("_t")).otherwise(F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")),

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sealed, table
 
 WINDOW = 5
 
@@ -66,7 +66,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    return repeats(counts(docs))
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    return sealed(repeats(counts(docs)), {n: F.col(n) for n in names})
 
 
 def base_rules() -> list[Rule]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, line_dedup, quality, sharding, simhash, substring_dedup, toxicity
+from . import bpe, decontamination, language_id, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, release, table, texts
+from .common import NULL_ID, durable, release, small_batches, table, texts
 
 WORDS, SEED, BITS = 3, 42, 2
 #: Fingerprints in one trie at most; a key with more is dealt out anew.
@@ -57,14 +57,16 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed number."""
+    """doc_id, fp (the fingerprint as a signed number) and key (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in texts(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], ["doc_id", "fp", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    small_batches(docs.sparkSession)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select(F.col("doc_id").cast("long"), "text", key.alias("key")).mapInArrow(run, "doc_id long, fp long, key long")
 
 
 # -- tries --------------------------------------------------------------------
@@ -250,19 +252,37 @@ def components(edges: DataFrame) -> DataFrame:
         release(spark)
 
 
-def near_duplicates(docs: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
-    """doc_id, fp and component_id of each row of `docs`."""
-    rows = durable(fingerprints(docs))
+def classes(rows: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
+    """(fp, root, least) for each fingerprint in `rows`: the least fingerprint and the least doc_id of its component."""
     ids = F.coalesce("doc_id", F.lit(NULL_ID))
     firsts = durable(rows.groupBy("fp").agg(F.min(ids).alias("first")))
     found = components(links(firsts, budget, trie))
     linked = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).distinct()
     named = firsts.join(linked, firsts["fp"] == linked["node"]).select("fp", "first", "root")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
-    better = named.join(least, "root").select("fp", "least")
-    classes = firsts.join(better, "fp", "left").select("fp", F.coalesce("least", "first").alias("c"))
-    out = rows.join(classes, "fp")
-    return out.select("doc_id", "fp", F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id"))
+    better = named.join(least, "root").select("fp", "root", "least")
+    return firsts.join(better, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
+    """doc_id, fp and component_id of each row of `docs`."""
+    rows = durable(fingerprints(docs))
+    out = rows.join(classes(rows, budget, trie), "fp")
+    return out.select("doc_id", "fp", F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
+    """One row of `docs` for each group: of least doc_id, and of least hash of the text among equal or null ids."""
+    rows = durable(fingerprints(docs))
+    named = rows.join(classes(rows, budget, trie).select("fp", "root"), "fp")
+    rank = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("key"))
+    firsts = durable(named.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.key").alias("_key")))
+    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_k": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = keyed.join(firsts, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
+    repeated = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    if not repeated.isEmpty():  # equal rows with equal ids
+        kept = kept.dropDuplicates(["_i", "_k"])
+    return kept.drop("_i", "_k")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
