@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ from .common import fold, small_batches, table
 
 NAME = "piece_bpe_32k.model"
 SAMPLE, SAMPLE_BYTES, ROUNDS, PRIOR = 1000, 100_000, 4, 0.02
-#: Words that a worker remembers, and their greatest length; words of one part of a very long word.
-CACHE, CACHED_CHARS, PART = 250_000, 40, 200
+#: Words that a worker remembers, and their greatest length; characters of one part of a very long word.
+CACHE, CACHED_CHARS, PART = 400_000, 40, 200
+#: Words scored together; fewer than CACHE.
+CHUNK = 100_000
 _LETTER = regex.compile(r"\p{L}")
 _START = "▁"
 
@@ -134,42 +137,73 @@ class Model:
                 out[l] += (np.log(ahead[-1]) if ahead[-1] > 0 else -800.0) + log
         return out
 
-    def _row(self, word: str) -> int:
-        """Row of `word` in the table of scores."""
-        _, _, place, scores = self._ready
-        at = len(place)
-        scores[at] = self._forward(word)
-        place[word] = at
-        return at
-
-    def log_probability(self, text: str) -> np.ndarray:
+    def _learn(self, new: set[str]) -> None:
+        """Scores of `new` words, those of one length together."""
+        lattice, columns, place, scores = self._ready
+        of_length: dict[int, list[str]] = {}
+        for w in new:
+            of_length.setdefault(len(w) if len(w) <= CACHED_CHARS else 0, []).append(w)
+        unknown, none = len(self.pieces), len(self.pieces) + 1
+        table = np.vstack([self.probabilities.T, np.zeros(len(self.languages))])
+        get = lattice.number.get
+        for length, group in of_length.items():
+            for some in (group[i : i + 4096] for i in range(0, len(group), 4096)):
+                if not length:
+                    logs = np.array([self._forward(w) for w in some])
+                else:
+                    spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - lattice.longest), j)]
+                    cuts = [(slice(i, j), unknown if j - i == 1 else none) for i, j in spans]
+                    ids = np.array([get(m[s], default) for m in [_START + w for w in some] for s, default in cuts]).reshape(len(some), len(cuts))
+                    ahead = np.zeros((length + 2, len(some), len(self.languages)))
+                    ahead[0] = 1
+                    for e, (i, j) in enumerate(spans):
+                        ahead[j] += ahead[i] * table[ids[:, e]]
+                    logs = np.log(np.maximum(ahead[-1], 1e-300))
+                scores[self._used : self._used + len(some)] = logs
+                place.update(zip(some, range(self._used, self._used + len(some))))
+                self._used += len(some)
+
+    def log_probabilities(self, texts: list[str]) -> np.ndarray:
+        """Log of prior and probability of each of `texts`, a column for each language."""
         if not self._ready:
             self._ready = Lattice(self.pieces), [c.tolist() for c in self.probabilities], {}, np.empty((CACHE, len(self.languages)))
-        place, scores = self._ready[2], self._ready[3]
-        total = self.prior.copy()
-        todo = words(text)
-        for i in range(0, len(todo), CACHE // 2):
-            if len(place) >= CACHE // 2:
-                place.clear()
-            rows = []
-            for w in todo[i : i + CACHE // 2]:
-                at = place.get(w)
-                if at is None:
-                    if len(w) > CACHED_CHARS:
-                        total += self._forward(w)
-                        continue
-                    at = self._row(w)
-                rows.append(at)
-            total += scores[rows].sum(axis=0)
+            self._used = 0
+        place = self._ready[2]
+        total = np.tile(self.prior, (len(texts), 1))
+        parts: list[tuple[int, list[str]]] = []
+        size = 0
+        todo = ((d, w[i : i + CHUNK]) for d, t in enumerate(texts) for w in [words(t)] for i in range(0, len(w), CHUNK))
+        for part in (*todo, None):
+            if parts and (part is None or size + len(part[1]) > CHUNK):
+                flat = list(chain.from_iterable(w for _, w in parts))
+                new = set(flat) - place.keys()
+                if self._used + len(new) > CACHE:
+                    place.clear()
+                    self._used, new = 0, set(flat)
+                self._learn(new)
+                rows = self._ready[3][np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))]
+                starts = np.concatenate([[0], np.cumsum([len(w) for _, w in parts])[:-1]])
+                np.add.at(total, [d for d, _ in parts], np.add.reduceat(rows, starts, axis=0))
+                for w in new:
+                    if len(w) > CACHED_CHARS:  # not worth its memory
+                        del place[w]
+                parts, size = [], 0
+            if part is not None:
+                parts.append(part)
+                size += len(part[1])
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language of `text`, and its share in the probability of all."""
-        if not text or not self.languages or not _LETTER.search(text):
-            return "und", 0.0
-        x = self.log_probability(text)
-        best = int(x.argmax())
-        return self.languages[best], float(1 / np.exp(np.clip(x - x[best], -700, 0)).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language of each text, and its share in the probability of all."""
+        out = [("und", 0.0)] * len(texts)
+        some = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        if some:
+            x = self.log_probabilities([texts[i] for i in some])
+            best = x.argmax(axis=1)
+            share = 1 / np.exp(np.clip(x - x.max(axis=1, keepdims=True), -700, 0)).sum(axis=1)
+            for i, b, s in zip(some, best, share):
+                out[i] = self.languages[b], float(s)
+        return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None) -> Model:
@@ -212,7 +246,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.predict(t) for t in batch.column(at).to_pylist()]
+            found = sent.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"]
             )
