@@ -21,7 +21,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -152,12 +153,15 @@ class Model:
                     logs = np.array([self._forward(w) for w in some])
                 else:
                     spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - lattice.longest), j)]
-                    cuts = [(slice(i, j), unknown if j - i == 1 else none) for i, j in spans]
-                    ids = np.array([get(m[s], default) for m in [_START + w for w in some] for s, default in cuts]).reshape(len(some), len(cuts))
+                    parts = itemgetter(*(slice(i, j) for i, j in spans), slice(0, 0))  # two at least: always a tuple
+                    found = map(get, chain.from_iterable(parts(_START + w) for w in some), repeat(none))
+                    ids = np.fromiter(found, np.int64, len(some) * (len(spans) + 1)).reshape(len(some), -1).T.copy()
+                    single = np.array([j - i == 1 for i, j in spans] + [False])
+                    ids[single] = np.where(ids[single] == none, unknown, ids[single])
                     ahead = np.zeros((length + 2, len(some), len(self.languages)))
                     ahead[0] = 1
                     for e, (i, j) in enumerate(spans):
-                        ahead[j] += ahead[i] * table[ids[:, e]]
+                        ahead[j] += ahead[i] * table[ids[e]]
                     logs = np.log(np.maximum(ahead[-1], 1e-300))
                 scores[self._used : self._used + len(some)] = logs
                 place.update(zip(some, range(self._used, self._used + len(some))))
