@@ -147,6 +147,11 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_chunk(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return chunk_words(docs)[:2]
+
+
+def chunk_words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of `docs`, words of each document, and the bytes with each word's start and end."""
     buf = np.frombuffer(b" ".join(docs) + b" ", np.uint8)
     lengths = np.fromiter(map(len, docs), np.int64, len(docs))
     inside = _IN_WORD[buf]
@@ -160,7 +165,7 @@ def _hash_chunk(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
     h = _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     firsts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]))
-    return h, np.diff(firsts)
+    return h, np.diff(firsts), buf, starts, ends
 
 
 def runs(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:

@@ -5,7 +5,7 @@ its pieces are fitted by expectation maximisation on the words of a bounded
 sample of labelled texts. The probability of a word is the sum over all ways
 to cut it into pieces, by the forward algorithm; pieces do not cross white
 space, so a text's log probability is the sum over its words, and each worker
-keeps the scores of recent words.
+keeps the scores of recent words by their 64-bit hashes.
 
 Training: about `SAMPLE` rows of each language, outside the held-out fold and
 with texts of up to `SAMPLE_BYTES`; one task for each language, fed by word
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fold, small_batches, table
+from .common import chunk_words, fold, small_batches, table
 
 NAME = "piece_bpe_32k.model"
 SAMPLE, SAMPLE_BYTES, ROUNDS, PRIOR = 1000, 100_000, 4, 0.02
-#: Words that a worker remembers, and their greatest length; characters of one part of a very long word.
-CACHE, CACHED_CHARS, PART = 400_000, 40, 200
-#: Words scored together; fewer than CACHE.
-CHUNK = 100_000
+#: Longest word scored together with others, characters of one part of a longer one, bytes of text scored together.
+SHORT, PART, CHUNK = 40, 200, 1 << 18
+#: Places for words that a worker remembers, as a power of two: 24 bytes each with four languages.
+MEMORY_BITS = 21
 _LETTER = regex.compile(r"\p{L}")
 _START = "▁"
 
@@ -53,7 +53,7 @@ def vocabulary(name: str = NAME) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    return text.split()
+    return [w.decode() for w in text.encode().split()]
 
 
 class Lattice:
@@ -77,7 +77,7 @@ class Lattice:
 
 def fit(counts: dict[str, int], lattice: Lattice, size: int, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
     """Probabilities of the pieces, and last of an unknown character, fitted to word counts by forward and backward sums."""
-    known = [(lattice.edges(_START + w), c) for w, c in counts.items() if len(w) <= CACHED_CHARS]
+    known = [(lattice.edges(_START + w), c) for w, c in counts.items() if len(w) <= SHORT]
     p = [1.0 / (size + 1)] * (size + 1)
     for _ in range(rounds):
         total = [prior] * (size + 1)
@@ -104,6 +104,51 @@ def fit(counts: dict[str, int], lattice: Lattice, size: int, rounds: int = ROUND
     return np.array(p)
 
 
+def _parts(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """`text` cut at spaces into parts of about `limit` bytes."""
+    at = 0
+    while len(text) - at > limit and (end := text.find(b" ", at + limit)) >= 0:
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+class Memory:
+    """A table from word hashes to scores of fixed size: four places for each hash, emptied when it is filled."""
+
+    def __init__(self, width: int, bits: int = MEMORY_BITS) -> None:
+        self.mask, self.shift, self.used = (1 << bits) - 1, np.uint64(64 - bits), 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.scores = np.zeros((1 << bits, width), np.float32)
+
+    def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        first = (keys >> self.shift).astype(np.int64)
+        for k in range(4):
+            yield (first + k) & self.mask
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of `keys`, and which of them are not known."""
+        out, new = np.zeros((len(keys), self.scores.shape[1])), np.ones(len(keys), bool)
+        for place in self._places(keys):
+            hit = new & (self.keys[place] == keys)
+            out[hit] = self.scores[place[hit]]
+            new &= ~hit
+        return out, np.flatnonzero(new)
+
+    def put(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        if self.used > 0.7 * len(self.keys):
+            self.keys[:] = 0
+            self.used = 0
+        left = np.ones(len(keys), bool)
+        for place in self._places(keys):
+            free = np.flatnonzero(left & (self.keys[place] == 0))
+            self.keys[place[free]] = keys[free]  # of several for one place, one stays
+            mine = free[self.keys[place[free]] == keys[free]]
+            self.scores[place[mine]] = scores[mine]
+            left[mine] = False
+            self.used += len(mine)
+
+
 class Model:
     """Log probabilities of words in each language."""
 
@@ -138,62 +183,59 @@ class Model:
                 out[l] += (np.log(ahead[-1]) if ahead[-1] > 0 else -800.0) + log
         return out
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> np.ndarray:
         """Scores of `new` words, those of one length together."""
-        lattice, columns, place, scores = self._ready
-        of_length: dict[int, list[str]] = {}
-        for w in new:
-            of_length.setdefault(len(w) if len(w) <= CACHED_CHARS else 0, []).append(w)
+        lattice = self._ready[0]
+        out = np.zeros((len(new), len(self.languages)))
+        of_length: dict[int, list[int]] = {}
+        for k, w in enumerate(new):
+            of_length.setdefault(len(w) if len(w) <= SHORT else 0, []).append(k)
         unknown, none = len(self.pieces), len(self.pieces) + 1
         table = np.vstack([self.probabilities.T, np.zeros(len(self.languages))])
         get = lattice.number.get
         for length, group in of_length.items():
             for some in (group[i : i + 4096] for i in range(0, len(group), 4096)):
                 if not length:
-                    logs = np.array([self._forward(w) for w in some])
-                else:
-                    spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - lattice.longest), j)]
-                    parts = itemgetter(*(slice(i, j) for i, j in spans), slice(0, 0))  # two at least: always a tuple
-                    found = map(get, chain.from_iterable(parts(_START + w) for w in some), repeat(none))
-                    ids = np.fromiter(found, np.int64, len(some) * (len(spans) + 1)).reshape(len(some), -1).T.copy()
-                    single = np.array([j - i == 1 for i, j in spans] + [False])
-                    ids[single] = np.where(ids[single] == none, unknown, ids[single])
-                    ahead = np.zeros((length + 2, len(some), len(self.languages)))
-                    ahead[0] = 1
-                    for e, (i, j) in enumerate(spans):
-                        ahead[j] += ahead[i] * table[ids[e]]
-                    logs = np.log(np.maximum(ahead[-1], 1e-300))
-                scores[self._used : self._used + len(some)] = logs
-                place.update(zip(some, range(self._used, self._used + len(some))))
-                self._used += len(some)
+                    out[some] = [self._forward(new[k]) for k in some]
+                    continue
+                spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - lattice.longest), j)]
+                parts = itemgetter(*(slice(i, j) for i, j in spans), slice(0, 0))  # two at least: always a tuple
+                found = map(get, chain.from_iterable(parts(_START + new[k]) for k in some), repeat(none))
+                ids = np.fromiter(found, np.int64, len(some) * (len(spans) + 1)).reshape(len(some), -1).T.copy()
+                single = np.array([j - i == 1 for i, j in spans] + [False])
+                ids[single] = np.where(ids[single] == none, unknown, ids[single])
+                ahead = np.zeros((length + 2, len(some), len(self.languages)))
+                ahead[0] = 1
+                for e, (i, j) in enumerate(spans):
+                    ahead[j] += ahead[i] * table[ids[e]]
+                out[some] = np.log(np.maximum(ahead[-1], 1e-300))
+        return out
 
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
         """Log of prior and probability of each of `texts`, a column for each language."""
         if not self._ready:
-            self._ready = Lattice(self.pieces), [c.tolist() for c in self.probabilities], {}, np.empty((CACHE, len(self.languages)))
-            self._used = 0
-        place = self._ready[2]
+            self._ready = Lattice(self.pieces), [c.tolist() for c in self.probabilities], Memory(len(self.languages))
+        memory = self._ready[2]
         total = np.tile(self.prior, (len(texts), 1))
-        parts: list[tuple[int, list[str]]] = []
+        group: list[tuple[int, bytes]] = []
         size = 0
-        todo = ((d, w[i : i + CHUNK]) for d, t in enumerate(texts) for w in [words(t)] for i in range(0, len(w), CHUNK))
-        for part in (*todo, None):
-            if parts and (part is None or size + len(part[1]) > CHUNK):
-                flat = list(chain.from_iterable(w for _, w in parts))
-                new = set(flat) - place.keys()
-                if self._used + len(new) > CACHE:
-                    place.clear()
-                    self._used, new = 0, set(flat)
-                self._learn(new)
-                rows = self._ready[3][np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))]
-                starts = np.concatenate([[0], np.cumsum([len(w) for _, w in parts])[:-1]])
-                np.add.at(total, [d for d, _ in parts], np.add.reduceat(rows, starts, axis=0))
-                for w in new:
-                    if len(w) > CACHED_CHARS:  # not worth its memory
-                        del place[w]
-                parts, size = [], 0
+        for part in (*((d, p) for d, t in enumerate(texts) for p in _parts(t.encode())), None):
+            if group and (part is None or size + len(part[1]) > CHUNK):
+                hashes, n, buf, starts, ends = chunk_words([p for _, p in group])
+                known, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+                scores, new = memory.get(known)
+                if len(new):
+                    raw = buf.tobytes()
+                    learnt = self._learn([raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in at[new]])
+                    scores[new] = learnt
+                    memory.put(known[new], learnt)
+                filled = np.flatnonzero(n)
+                if len(filled):
+                    sums = np.add.reduceat(scores[back], (np.cumsum(n) - n)[filled], axis=0)
+                    np.add.at(total, [group[k][0] for k in filled], sums)
+                group, size = [], 0
             if part is not None:
-                parts.append(part)
+                group.append(part)
                 size += len(part[1])
         return total
 
