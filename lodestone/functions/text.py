@@ -80,9 +80,10 @@ def http_method(text: Column) -> Column:
 
 def annotation_version(text: Column) -> Column:
     """How an annotation names a version beside the path: header or query."""
-    header = F.contains(text, F.lit("headers")) & text.rlike(r"(?i)(x-)?(api-?)?version")
-    media = text.rlike("produces|consumes") & text.rlike(r"(?i)vnd\.[\w.\-]*\.?v\d+")
-    query = F.contains(text, F.lit("params")) & text.rlike(r"(?i)(api-?)?version")
+    low = F.lower(text)
+    header = F.contains(low, F.lit("headers")) & text.rlike(r"(?i)(x-api-version|api-version|accept-version|api\.version)")
+    media = low.rlike("produces|consumes") & text.rlike(r"(?i)vnd\.[\w.-]+\.v\d+")
+    query = F.contains(low, F.lit("params")) & text.rlike(r"(?i)(^|[^a-z0-9_-])(version|api-version|api\.version|v)\s*=")
     return F.when(header | media, "header").when(query, "query")
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_service, port_of, strip_suffix
 
 # Directory names that are not services.
-NOT_SERVICES = ["common", "commons", "core", "shared", "util", "utils", "lib", "libs", "library", "api", "model", "models", "dto", "domain", "entity", "entities", "test", "tests", "testing", "example", "examples", "sample", "samples", "demo", "docs", "doc", "documentation", "parent", "bom", "starter", "config", "configuration", "build", "buildsrc", "tools", "scripts", "dependencies"]
+NOT_SERVICES = [
+    "example", "examples", "sample", "samples", "demo", "demos", "test", "tests", "integration-test", "integration-tests", "e2e", "e2e-tests", "it-tests", "tck", "testkit",
+    "doc", "docs", "documentation", "tutorial", "tutorials", "benchmark", "benchmarks", "buildsrc", "buildscript", "starter", "starters", "template", "templates",
+    "archetype", "archetypes", "mock", "mocks", "fixture", "fixtures", "bom", "dependencies", "platform",
+]
 BUILD_FILES = ["pom.xml", "build.gradle", "build.gradle.kts"]
 SKIPPED = ["target", "build", "node_modules", ".gradle", ".git"]
 
