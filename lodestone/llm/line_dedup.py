@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, sealed, table
 
+#: Tasks to which one line's rows are dealt when they meet the lines to drop.
+SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,8 +38,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     hashed = hashed.withColumn("_s", F.sort_array("_p")).drop("_p")
     first = F.transform("_s", lambda p, j: F.struct(p["h"].alias("h"), p["i"].alias("i"), ((j == 0) | (F.get("_s", j - 1)["h"] != p["h"])).cast("int").alias("first")))
     lines = hashed.select("_id", "_text", F.inline(first).alias("h", "i", "first"))
-    often = lines.groupBy("h").agg(F.sum("first").alias("_n")).filter(F.col("_n") >= min_docs).select("h")
-    gone = lines.join(often, "h").groupBy("_id", "_text").agg(F.collect_list("i").alias("_gone"))
+    often = lines.groupBy("h").agg(F.sum("first").alias("_n")).filter(F.col("_n") >= min_docs)
+    # A line of very many documents is dealt to SALTS tasks, and waits there in each.
+    often = often.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    salted = lines.withColumn("s", F.pmod(F.xxhash64("_id", "_text"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(often, ["h", "s"]).groupBy("_id", "_text").agg(F.collect_list("i").alias("_gone"))
     rows = docs.withColumns({"_t": text, "_k": F.xxhash64(text)})
     joined = rows.join(gone.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(gone["_id"]) & (F.col("_k") == F.col("_text")), "left").drop("_id", "_text", "_k")
     joined = joined.withColumn("_lines", F.split("_t", "\n", -1))
