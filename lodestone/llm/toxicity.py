@@ -2,8 +2,8 @@
 
 The ordinary dictionary holds words of ordinary texts, the toxic one the same
 and, before it, words of toxic texts with byte sequences that ordinary texts
-lack. A window is a word behind a fixed passage that both dictionaries hold,
-so that short words compress at all; its distance is what the toxic dictionary
+lack. A window is a word before a fixed passage that both dictionaries hold,
+so that short words compress at all (no match begins in the last bytes); its distance is what the toxic dictionary
 saves in bytes. A text's score comes from how many of its windows pass each
 distance, through a logistic curve fitted on labelled texts that no dictionary
 has seen. Words recur, so each worker keeps the distances of recent ones.
@@ -94,7 +94,7 @@ class Model:
         plain, toxic, cache = self._ready
         best = 0
         for i in range(0, len(word), WINDOW):
-            w = PASSAGE + _window(word[i : i + WINDOW])
+            w = _window(word[i : i + WINDOW]) + PASSAGE
             best = max(best, len(plain(w)) - len(toxic(w)))
         if len(word) <= WINDOW:
             if len(cache) >= CACHE:
