@@ -2,9 +2,11 @@
 
 The ordinary dictionary holds words of ordinary texts, the toxic one the same
 and, before it, words of toxic texts with byte sequences that ordinary texts
-lack. A window is a word before a fixed passage that both dictionaries hold,
-so that short words compress at all (no match begins in the last bytes); its distance is what the toxic dictionary
-saves in bytes. A text's score comes from how many of its windows pass each
+lack. A window is a word said twice, as in the dictionaries, before a fixed
+passage that both hold: an unknown word costs its letters and one match, a
+known one a single match, so that even short words save bytes (and no match
+begins in the last bytes of a window). Its distance is what the toxic
+dictionary saves in bytes. A text's score comes from how many of its windows pass each
 distance, through a logistic curve fitted on labelled texts that no dictionary
 has seen. Words recur, so each worker keeps the distances of recent ones.
 
@@ -44,11 +46,11 @@ def words(text: bytes) -> list[bytes]:
 
 
 def _window(word: bytes) -> bytes:
-    return b" " + word + b" "
+    return b" " + word + b" " + word + b" "
 
 
 def _grams(found: set[bytes]) -> set[bytes]:
-    return {b[i : i + GRAM] for b in map(_window, found) for i in range(len(b) - GRAM + 1)}
+    return {b[i : i + GRAM] for w in found for b in [b" " + w + b" "] for i in range(len(b) - GRAM + 1)}
 
 
 def distinct(docs: list[bytes]) -> list[bytes]:
