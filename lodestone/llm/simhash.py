@@ -274,12 +274,16 @@ def near_duplicates(docs: DataFrame, budget: int = BITS, trie: int = TRIE) -> Da
 def keep_first(docs: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
     """One row of `docs` for each group: of least doc_id, and of least hash of the text among equal or null ids."""
     rows = durable(fingerprints(docs))
-    named = rows.join(classes(rows, budget, trie).select("fp", "root"), "fp")
+    return first_of_each(docs, rows.join(classes(rows, budget, trie).select("fp", "root"), "fp"))
+
+
+def first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The first row of `docs` of each root, where `named` has doc_id, key and root of every row."""
     rank = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("key"))
     firsts = durable(named.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.key").alias("_key")))
     keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_k": F.xxhash64(F.coalesce("text", F.lit("")))})
     kept = keyed.join(firsts, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
-    repeated = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = named.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():  # equal rows with equal ids
         kept = kept.dropDuplicates(["_i", "_k"])
     return kept.drop("_i", "_k")
