@@ -19,6 +19,7 @@ stand for themselves; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -35,7 +36,7 @@ from .common import chunk_words, fold, small_batches, table
 
 NAME = "piece_bpe_32k.model"
 SAMPLE, SAMPLE_BYTES, ROUNDS, PRIOR = 1000, 100_000, 4, 0.02
-#: Longest word scored together with others, characters of one part of a longer one, bytes of text scored together.
+#: Longest word scored and fitted together with others, characters of one part of a longer one, bytes of text scored together.
 SHORT, PART, CHUNK = 40, 200, 1 << 18
 #: Places for words that a worker remembers, as a power of two: 24 bytes each with four languages.
 MEMORY_BITS = 21
@@ -75,9 +76,30 @@ class Lattice:
         return out
 
 
+def _add_long(edges: list[list[tuple[int, int]]], count: int, p: list[float], total: list[float]) -> None:
+    """Adds to `total` how often each piece is expected in a word said `count` times; by logarithms, for any length."""
+    log, exp = math.log, math.exp
+    n = len(edges)
+    logs = [[(i, k, log(p[k])) for i, k in some] for some in edges]
+    ahead, back = [0.0] * (n + 1), [-math.inf] * n + [0.0]
+    for j, some in enumerate(logs, 1):
+        x = [ahead[i] + q for i, _, q in some]
+        top = max(x)
+        ahead[j] = top + log(sum(exp(v - top) for v in x))
+    for j in range(n, 0, -1):
+        b = back[j]
+        if b == -math.inf:
+            continue
+        for i, k, q in logs[j - 1]:
+            x, y = b + q, back[i]
+            back[i] = x + math.log1p(exp(y - x)) if x > y else y + math.log1p(exp(x - y))
+            total[k] += count * exp(ahead[i] + x - ahead[n])
+
+
 def fit(counts: dict[str, int], lattice: Lattice, size: int, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
     """Probabilities of the pieces, and last of an unknown character, fitted to word counts by forward and backward sums."""
     known = [(lattice.edges(_START + w), c) for w, c in counts.items() if len(w) <= SHORT]
+    long = [(_START + w, c) for w, c in counts.items() if len(w) > SHORT]  # edges made anew each round: they fill memory
     p = [1.0 / (size + 1)] * (size + 1)
     for _ in range(rounds):
         total = [prior] * (size + 1)
@@ -99,6 +121,8 @@ def fit(counts: dict[str, int], lattice: Lattice, size: int, rounds: int = ROUND
                         x = p[k] * b
                         back[i] += x
                         total[k] += ahead[i] * x
+        for word, count in long:
+            _add_long(lattice.edges(word), count, p, total)
         whole = sum(total)
         p = [x / whole for x in total]
     return np.array(p)

@@ -55,6 +55,24 @@ def test_language_of_nulls_marks_and_held_out_texts(spark):
     assert language_id.identify(empty, language_id.train(docs)).count() == 0
 
 
+def test_fit_counts_long_words_as_short_ones(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab"]
+    counts = {"abab": 3, "abcab": 1, "bbbbb": 2, "a": 5}
+    lattice = language_id.Lattice(pieces)
+    want = language_id.fit(counts, lattice, len(pieces))
+    monkeypatch.setattr(language_id, "SHORT", 1)
+    assert language_id.fit(counts, lattice, len(pieces)) == pytest.approx(want)
+
+
+def test_language_without_spaces(spark):
+    rng = random.Random(6)
+    say = {"x": ["山水", "山", "火"], "y": ["水山", "水", "木"]}
+    rows = [(i, "".join(rng.choice(say[k]) for _ in range(90)), k) for i in range(60) for k in [("x", "y", "y")[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, pieces=["▁", "山", "水", "火", "木", "山水", "水山"])
+    assert all(r.lang_pred == r.lang for r in language_id.identify(docs, model).collect())
+
+
 def test_toxicity_on_held_out_texts(spark):
     rng = random.Random(5)
     part = ["an", "er", "in", "st", "on", "th", "re", "ou"]
