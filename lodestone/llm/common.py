@@ -34,11 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most `rows` rows from now on: texts are long, and both sides hold whole batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+#: Rows of an Arrow batch at most, and bytes, about: both sides of the exchange hold whole batches.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most `rows` rows and about `size` bytes (or one row) from now on. Spark reads these settings
+    when a query runs, which is after the operator has returned, so they stay set; smaller ones of the caller's are left."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -47,6 +53,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Hot keys are those of more than 1 / HOT of all rows, so there are fewer than HOT of them; rows that may be broadcast.
+HOT, LEAST_HOT, BROADCAST_ROWS = 10_000, 64, 200_000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `keyed`, which has one row for each key and their number `n` in `rows`, of `total` rows.
+    Hot keys, fewer than HOT whatever the input, are broadcast, so that their rows stay where they are; no other key
+    has more than 1 / HOT of the rows (or LEAST_HOT of them), and these are joined by a shuffle."""
+    hot = F.broadcast(keyed.filter(F.col("n") > max(LEAST_HOT, total // HOT)).drop("n"))
+    cold = keyed.filter(F.col("n") <= max(LEAST_HOT, total // HOT)).drop("n")
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def light(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df`, which is stored, with a broadcast hint if it has at most BROADCAST_ROWS rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def sealed(df: DataFrame, columns: dict) -> DataFrame:
     """`df` with computed `columns` that later filters read as they are. Without this a filter on them would be
     pushed below them with each expression written out again in place of its name."""

@@ -1,28 +1,37 @@
-"""Operator 4: toxicity by compression distance between two zstandard dictionaries.
-
-The ordinary dictionary holds words of ordinary texts, the toxic one the same
-and, before it, words of toxic texts with byte sequences that ordinary texts
-lack. A window is a word said twice, as in the dictionaries, before a fixed
-passage that both hold: an unknown word costs its letters and one match, a
-known one a single match, so that even short words save bytes (and no match
-begins in the last bytes of a window). Its distance is what the toxic
-dictionary saves in bytes. A text's score comes from how many of its windows pass each
-distance, through a logistic curve fitted on labelled texts that no dictionary
-has seen. Words recur, so each worker keeps the distances of recent ones.
+"""Operator 4: toxicity by compression distance between trained zstandard dictionaries.
+
+One dictionary is trained on windows of ordinary texts, another on windows of
+toxic texts. A window is `SPAN` words of a text. Its distance is what the
+toxic dictionary saves: the window's compressed length with the ordinary
+dictionary, less that with both. A word counts by the least distance of all
+windows that hold it, so that it does not matter where a window is cut.
+
+Labels are those of whole texts, most of whose words are ordinary, so windows
+are chosen in rounds: the first toxic dictionary comes from all windows of
+toxic texts, each later one from the stretches that passed `BARS` in the round
+before. Every text is judged by dictionaries of the other half of the texts,
+and the stretches that pass in ordinary texts go to the ordinary dictionary,
+which competes for them in the next round. Both halves' pairs are kept, and
+distances are their means.
+
+How many stretches of a text reach each of `DISTANCES`, and how many windows
+there are, give the score through a logistic curve fitted on labelled texts
+that no dictionary has seen: that calibrates the thresholds.
 
 Training reads a bounded sample of labelled rows outside the held-out fold:
-about `SAMPLE` rows of each class, texts of up to `SAMPLE_BYTES`. Nothing but
-text is an input of a score.
+about `SAMPLE` rows of each class, texts of up to `SAMPLE_BYTES`; dictionaries
+and curve are made by the driver. Nothing but text is an input of a score.
 
 Nulls and ties: a null text scores as an empty one, by the curve's constant;
-unlabelled rows and labels without a document are not trained on; without
-labels of both classes every score is 0; an empty table gives no rows.
+unlabelled rows and labels without a document are not trained on; repeated
+rows score alike; without labels of both classes every score is 0; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,23 +43,24 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches, table, texts
 
 #: Labelled rows of each class in training, about; longest text among them, in bytes.
-SAMPLE, SAMPLE_BYTES = 3000, 100_000
-GRAM, ODDS, SHARE, DICTIONARY = 5, 3.0, 0.015, 1500
-PASSAGE = b"~a passage in both~"
-LEVEL, WINDOW, DISTANCES = 9, 48, (3, 4, 5, 6)
-CACHE = 300_000
+SAMPLE, SAMPLE_BYTES = 3000, 30_000
+#: Words of a window; rounds; distance that a first window, and the least one of a word, must reach in round 1 and later.
+SPAN, ROUNDS, FIRST, BARS = 4, 7, 2, (1.0, 1.5)
+#: Bytes of the ordinary dictionary, of the toxic one in round 1 and later, and of windows that one is trained on.
+ORDINARY, TOXIC, TRAINED = 240_000, (112_000, 12_000), 2 << 20
+#: Length of segments (all windows, stretches) and of byte sequences in the choice of a dictionary's content.
+SEGMENTS, GRAM, LEVEL = (32, 16), 6, 12
+DISTANCES = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
+#: Bytes of a text split into words at once.
+STRETCH = 1 << 20
 
 
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _window(word: bytes) -> bytes:
-    return b" " + word + b" " + word + b" "
-
-
-def _grams(found: set[bytes]) -> set[bytes]:
-    return {b[i : i + GRAM] for w in found for b in [b" " + w + b" "] for i in range(len(b) - GRAM + 1)}
+def window(ws: list[bytes], at: int, span: int = SPAN) -> bytes:
+    return b" " + b" ".join(ws[at : at + span]) + b" "
 
 
 def distinct(docs: list[bytes]) -> list[bytes]:
@@ -67,55 +77,89 @@ def distinct(docs: list[bytes]) -> list[bytes]:
     return out
 
 
+def dictionary(found: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary trained on windows; empty if there are too few."""
+    n = sum(map(len, found))
+    try:
+        return zstandard.train_dictionary(min(size, max(n // 2, 256)), found, k=segment, d=GRAM, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def compressor(content: bytes):
+    """A compressor of single windows with `content`."""
+    params = zstandard.ZstdCompressionParameters.from_level(
+        LEVEL, source_size=64, dict_size=len(content), window_log=20, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0
+    )
+    # As plain content: windows are so short that literals cost the same in both, and only matches tell them apart.
+    trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    trained.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=trained, compression_params=params).compress
+
+
 class Model:
-    """The two dictionaries and the curve; small enough to travel with the tasks."""
+    """Pairs of dictionaries (ordinary, toxic) and the curve's weights; half a megabyte that travels with the tasks."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: list[float]) -> None:
-        self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
-        self._ready = None
+    def __init__(self, pairs: list[tuple[bytes, bytes]], weights: list[float]) -> None:
+        self.pairs, self.weights = pairs, weights
+        self._ready: list = []
 
     def __getstate__(self):
-        return self.ordinary, self.toxic, self.weights
+        return self.pairs, self.weights
 
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
-    def _compressor(self, content: bytes):
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0)
-        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(compression_params=params)
-        return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress
-
-    def distance(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves on the best window of `word`."""
-        known = self._ready and self._ready[2].get(word)
-        if known is not None:
-            return known
-        if not self._ready:
-            self._ready = self._compressor(self.ordinary + PASSAGE), self._compressor(self.toxic + self.ordinary + PASSAGE), {}
-        plain, toxic, cache = self._ready
-        best = 0
-        for i in range(0, len(word), WINDOW):
-            w = _window(word[i : i + WINDOW]) + PASSAGE
-            best = max(best, len(plain(w)) - len(toxic(w)))
-        if len(word) <= WINDOW:
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[word] = best
-        return best
-
-    def counts(self, text: bytes) -> list[int]:
-        """How many windows of `text` reach each of DISTANCES."""
+    def distances(self, text: bytes) -> list[int]:
+        """Bytes that the toxic dictionary of each pair saves on one window."""
         if not self._ready:
-            self.distance(b"")
-        get, new = self._ready[2].get, self.distance
-        far = [d for w in words(text) if (d := new(w) if (k := get(w)) is None else k) >= DISTANCES[0]]
-        return [sum(d >= t for d in far) for t in DISTANCES]
+            self._ready = [(compressor(a), compressor(a + b)) for a, b in self.pairs]
+        return [len(a(text)) - len(b(text)) for a, b in self._ready]
+
+    def evidence(self, text: bytes) -> tuple[list[tuple[float, bytes]], int]:
+        """For each window side by side whose first distance passes: the greatest least distance of one of its words, and
+        that word with its neighbours; and the number of windows. Texts are read in stretches that overlap."""
+        text = text.lower()
+        out: list[tuple[float, bytes]] = []
+        ws: list[bytes] = []
+        n = at = end = 0
+        whole = False
+        while not whole:
+            begin = end
+            end = text.find(b" ", begin + STRETCH) if len(text) - begin > STRETCH else -1
+            whole = end < 0
+            ws += text[begin:].split() if whole else text[begin:end].split()
+            last = max(0, len(ws) - SPAN)
+            memo: dict[int, list[int]] = {}
+
+            def distances(j: int) -> list[int]:
+                if j not in memo:
+                    memo[j] = self.distances(window(ws, j))
+                return memo[j]
+
+            # In a stretch that goes on, only windows with all their neighbours are judged yet.
+            while ws and at <= (last if whole else last - SPAN):
+                n += 1
+                if distances(at)[0] >= FIRST:
+                    best, place = -1.0, at
+                    for p in range(at, min(at + SPAN, len(ws))):
+                        least = min(sum(distances(j)) / len(self.pairs) for j in range(max(0, p - SPAN + 1), min(p, last) + 1))
+                        best, place = max((best, place), (least, p), key=lambda x: x[0])
+                    out.append((best, window(ws, max(0, place - 1), 3)))
+                # The last window reaches to the end.
+                at = last if at < last < at + SPAN else at + SPAN
+            drop = max(0, at - SPAN + 1)
+            ws, at = ws[drop:], at - drop
+        return out, n
+
+    def features(self, text: bytes) -> list[float]:
+        found, n = self.evidence(text)
+        return [float(np.log1p(sum(x >= t for x, _ in found))) for t in DISTANCES] + [float(np.log1p(n))]
 
     def score(self, text: bytes) -> float:
         if not self.weights:
             return 0.0
-        x = self.weights[0] + sum(w * np.log1p(n) for w, n in zip(self.weights[1:], self.counts(text)))
+        x = self.weights[0] + sum(w * f for w, f in zip(self.weights[1:], self.features(text)))
         return float(1 / (1 + np.exp(-x)))
 
 
@@ -134,31 +178,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
     return w.tolist()
 
 
-def train(rows: list[tuple[bytes, int]]) -> Model:
+def _windows(docs: list[bytes]) -> list[bytes]:
+    """Windows side by side of `docs`, in any order, TRAINED bytes of them."""
+    found = [window(ws, i) for text in docs for ws in [words(text)] for i in range(0, len(ws), SPAN)]
+    random.Random(1).shuffle(found)
+    sizes = np.cumsum([len(w) for w in found]) if found else np.zeros(0)
+    return found[: int(np.searchsorted(sizes, TRAINED, "right"))]
+
+
+def train(rows: list[tuple[bytes, int]], rounds: int = ROUNDS) -> Model:
     """A model from (text, label) rows: two of three train the dictionaries, the third the curve."""
     rows = sorted(rows, key=lambda r: (zlib.crc32(r[0]), r))
-    if len({y for _, y in rows}) < 2:
-        return Model(b"", b"", [])
     held, used = rows[::3], [r for i, r in enumerate(rows) if i % 3]
-    toxic, plain = (distinct([t for t, y in used if y == label]) for label in (1, 0))
-    if not toxic or not plain:
-        return Model(b"", b"", [])
-    seen_in: list[Counter] = [Counter(), Counter()]
-    word_in: list[Counter] = [Counter(), Counter()]
-    for k, docs in enumerate((plain, toxic)):
-        for text in docs:
-            found = set(words(text))
-            word_in[k].update(found)
-            seen_in[k].update(_grams(found))
-    least = max(3, SHARE * len(toxic))
-    marks = {g for g, c in seen_in[1].items() if c >= least and np.log((c + 0.5) / len(toxic)) - np.log((seen_in[0][g] + 0.5) / len(plain)) >= ODDS}
-    order = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (x[1], x[0]))[-DICTIONARY:]]  # noqa: E731  most frequent last, where matches are cheap
-    ordinary = b"".join(_window(w) for w in order(word_in[0]))
-    loud = Counter({w: c for w, c in word_in[1].items() if c > 1 and not marks.isdisjoint(_grams({w}))})
-    model = Model(ordinary, b"".join(_window(w) for w in order(loud)), [])
-    x = np.log1p(np.array([model.counts(t) for t, _ in held], float).reshape(len(held), len(DISTANCES)))
-    y = np.array([label for _, label in held], float)
-    model.weights = logistic(x, y) if 0 < y.sum() < len(y) else []
+    classes = [distinct([t for t, y in used if y == label]) for label in (0, 1)]
+    if min(map(len, classes)) < 2 or len({y for _, y in held}) < 2:
+        return Model([], [])
+    halves = [[c[half::2] for c in classes] for half in (0, 1)]
+    base = [[_windows(docs) for docs in half] for half in halves]
+    pairs = [(dictionary(b[0], ORDINARY, SEGMENTS[0]), dictionary(b[1], TOXIC[0], SEGMENTS[0])) for b in base]
+    for k in range(1, rounds):
+        judges = [Model([p], []) for p in pairs]
+        passed = [[[w for t in docs for x, w in judges[1 - i].evidence(t)[0] if x >= BARS[min(k, 2) - 1]] for docs in halves[i]] for i in (0, 1)]
+        made = [(dictionary(base[i][0] + passed[i][0], ORDINARY, SEGMENTS[0]), dictionary(passed[i][1], TOXIC[1], SEGMENTS[1])) for i in (0, 1)]
+        if not all(b for _, b in made):
+            break  # too little passed: the pairs of the round before stay
+        pairs = made
+    model = Model(pairs, [])
+    model.weights = logistic(np.array([model.features(t) for t, _ in held]), np.array([y for _, y in held], float))
     return model
 
 
