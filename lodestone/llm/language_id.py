@@ -2,14 +2,20 @@
 
 The vocabulary is a fixed public one. For each language, the probabilities of
 its pieces are fitted by expectation maximisation on the words of a bounded
-sample of labelled texts. The probability of a word is the sum over all ways
-to cut it into pieces, by the forward algorithm; pieces do not cross white
-space, so a text's log probability is the sum over its words, and each worker
-keeps the scores of recent words by their 64-bit hashes.
+sample of labelled texts: in each round every task sums the expected uses of
+pieces over its share of the words, and the sums of all tasks are added up by
+language and piece. The probability of a word is the sum over all ways to cut
+it into pieces, by the forward algorithm with rescaling, over the whole word
+whatever its length and with memory of the longest piece only; pieces do not
+cross white space, so a text's log probability is the sum over its words, and
+each worker keeps the scores of recent words, by the words themselves.
+
+Sums are added in an order that depends on the text alone, always in double
+precision, so a text has one score wherever it is read and whatever was scored
+before it.
 
 Training: about `SAMPLE` rows of each language, outside the held-out fold and
-with texts of up to `SAMPLE_BYTES`; one task for each language, fed by word
-counts of that sample.
+with texts of up to `SAMPLE_BYTES`.
 
 Nulls and ties: `und` with score 0 for a null text and one without letters,
 and for any text if nothing could be learned; null labels are not learned;
@@ -32,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import chunk_words, fold, small_batches, table
+from .common import durable, fold, small_batches, table
 
 NAME = "piece_bpe_32k.model"
 SAMPLE, SAMPLE_BYTES, ROUNDS, PRIOR = 1000, 100_000, 4, 0.02
-#: Longest word scored and fitted together with others, characters of one part of a longer one, bytes of text scored together.
-SHORT, PART, CHUNK = 40, 200, 1 << 18
-#: Places for words that a worker remembers, as a power of two: 24 bytes each with four languages.
-MEMORY_BITS = 21
+#: Words of up to so many characters are scored many at a time, longer ones alone; no result depends on it.
+SHORT = 40
+#: Words that a worker remembers, and their greatest length in bytes; words of one text scored together.
+MEMORY, MEMORY_BYTES, TOGETHER = 400_000, 64, 1 << 16
+#: Below the first, running sums are scaled up; below the second, a sum made without scaling is made again with it.
+_LOW, _SMALL = 1e-60, 1e-200
 _LETTER = regex.compile(r"\p{L}")
 _START = "▁"
 
@@ -64,115 +72,82 @@ class Lattice:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
 
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
+    def ends(self, word: str) -> Iterator[list[tuple[int, int]]]:
         """For each end, (start, piece)."""
-        get, n = self.number.get, len(word)
-        out = []
-        for j in range(1, n + 1):
-            some = [(i, k) for i in range(max(0, j - self.longest), j) if (k := get(word[i:j])) is not None]
+        get, longest = self.number.get, self.longest
+        for j in range(1, len(word) + 1):
+            some = [(i, k) for i in range(max(0, j - longest), j) if (k := get(word[i:j])) is not None]
             if not some or some[-1][0] != j - 1:
                 some.append((j - 1, -1))
-            out.append(some)
-        return out
-
-
-def _add_long(edges: list[list[tuple[int, int]]], count: int, p: list[float], total: list[float]) -> None:
-    """Adds to `total` how often each piece is expected in a word said `count` times; by logarithms, for any length."""
-    log, exp = math.log, math.exp
+            yield some
+
+    def forward(self, word: str, columns: list[list[float]]) -> list[float]:
+        """Log of the sum over all segmentations, for each of `columns` of piece probabilities; any length."""
+        longest, n = self.longest, len(columns)
+        rows = range(n)
+        # ahead[l][j % size]: sum of all segmentations of the first j characters, times e ** -log[l].
+        size = longest + 1
+        ahead = [[0.0] * size for _ in rows]
+        log = [0.0] * n
+        for l in rows:
+            ahead[l][0] = 1.0
+        at = 0
+        for j, some in enumerate(self.ends(word), 1):
+            at = j % size
+            for l in rows:
+                a, p = ahead[l], columns[l]
+                s = 0.0
+                for i, k in some:
+                    s += a[i % size] * p[k]
+                a[at] = s
+                if s < _LOW:
+                    top = max(a)
+                    if 0.0 < top < _LOW:
+                        ahead[l] = [x / top for x in a]
+                        log[l] += math.log(top)
+        return [math.log(ahead[l][at]) + log[l] if ahead[l][at] > 0.0 else -math.inf for l in rows]
+
+
+def expected(word: str, count: int, lattice: Lattice, p: list[float], total: list[float]) -> None:
+    """Adds to `total` how often each piece is expected in `word`, said `count` times: forward and backward sums, each
+    position with a scale of its own, so that any length is exact."""
+    edges = list(lattice.ends(word))
     n = len(edges)
-    logs = [[(i, k, log(p[k])) for i, k in some] for some in edges]
-    ahead, back = [0.0] * (n + 1), [-math.inf] * n + [0.0]
-    for j, some in enumerate(logs, 1):
-        x = [ahead[i] + q for i, _, q in some]
-        top = max(x)
-        ahead[j] = top + log(sum(exp(v - top) for v in x))
+    ahead, scale = [1.0] + [0.0] * n, [0.0] * (n + 1)  # true sum: ahead * e ** scale
+    now = 0.0
+    for j, some in enumerate(edges, 1):
+        s = 0.0
+        for i, k in some:
+            s += ahead[i] * p[k] * (math.exp(scale[i] - now) if scale[i] != now else 1.0)
+        if 0.0 < s < 1e-100:
+            now += math.log(s)
+            s = 1.0
+        ahead[j], scale[j] = s, now
+    if ahead[n] <= 0.0:
+        return
+    # back[j]: sum over the rest of the word, divided by the whole and by e ** -scale[j], so that products stay in range.
+    back = [0.0] * n + [count / ahead[n]]
     for j in range(n, 0, -1):
         b = back[j]
-        if b == -math.inf:
-            continue
-        for i, k, q in logs[j - 1]:
-            x, y = b + q, back[i]
-            back[i] = x + math.log1p(exp(y - x)) if x > y else y + math.log1p(exp(x - y))
-            total[k] += count * exp(ahead[i] + x - ahead[n])
+        if b:
+            for i, k in edges[j - 1]:
+                x = p[k] * b * (math.exp(scale[i] - scale[j]) if scale[i] != scale[j] else 1.0)
+                back[i] += x
+                total[k] += ahead[i] * x
 
 
 def fit(counts: dict[str, int], lattice: Lattice, size: int, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
-    """Probabilities of the pieces, and last of an unknown character, fitted to word counts by forward and backward sums."""
-    known = [(lattice.edges(_START + w), c) for w, c in counts.items() if len(w) <= SHORT]
-    long = [(_START + w, c) for w, c in counts.items() if len(w) > SHORT]  # edges made anew each round: they fill memory
+    """Probabilities of the pieces, and last of an unknown character, fitted to the word counts of one language."""
     p = [1.0 / (size + 1)] * (size + 1)
     for _ in range(rounds):
         total = [prior] * (size + 1)
-        for edges, count in known:
-            n = len(edges)
-            ahead = [1.0] + [0.0] * n
-            for j, some in enumerate(edges, 1):
-                s = 0.0
-                for i, k in some:
-                    s += ahead[i] * p[k]
-                ahead[j] = s
-            back = [0.0] * n + [count / ahead[n]] if ahead[n] > 0 else None
-            if back is None:
-                continue
-            for j in range(n, 0, -1):
-                b = back[j]
-                if b:
-                    for i, k in edges[j - 1]:
-                        x = p[k] * b
-                        back[i] += x
-                        total[k] += ahead[i] * x
-        for word, count in long:
-            _add_long(lattice.edges(word), count, p, total)
+        for w, c in counts.items():
+            expected(_START + w, c, lattice, p, total)
         whole = sum(total)
         p = [x / whole for x in total]
     return np.array(p)
 
 
-def _parts(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
-    """`text` cut at spaces into parts of about `limit` bytes."""
-    at = 0
-    while len(text) - at > limit and (end := text.find(b" ", at + limit)) >= 0:
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
-class Memory:
-    """A table from word hashes to scores of fixed size: four places for each hash, emptied when it is filled."""
-
-    def __init__(self, width: int, bits: int = MEMORY_BITS) -> None:
-        self.mask, self.shift, self.used = (1 << bits) - 1, np.uint64(64 - bits), 0
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.scores = np.zeros((1 << bits, width), np.float32)
-
-    def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        first = (keys >> self.shift).astype(np.int64)
-        for k in range(4):
-            yield (first + k) & self.mask
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of `keys`, and which of them are not known."""
-        out, new = np.zeros((len(keys), self.scores.shape[1])), np.ones(len(keys), bool)
-        for place in self._places(keys):
-            hit = new & (self.keys[place] == keys)
-            out[hit] = self.scores[place[hit]]
-            new &= ~hit
-        return out, np.flatnonzero(new)
-
-    def put(self, keys: np.ndarray, scores: np.ndarray) -> None:
-        if self.used > 0.7 * len(self.keys):
-            self.keys[:] = 0
-            self.used = 0
-        left = np.ones(len(keys), bool)
-        for place in self._places(keys):
-            free = np.flatnonzero(left & (self.keys[place] == 0))
-            self.keys[place[free]] = keys[free]  # of several for one place, one stays
-            mine = free[self.keys[place[free]] == keys[free]]
-            self.scores[place[mine]] = scores[mine]
-            left[mine] = False
-            self.used += len(mine)
-
-
 class Model:
     """Log probabilities of words in each language."""
 
@@ -186,30 +161,9 @@ class Model:
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
-    def _forward(self, word: str) -> np.ndarray:
-        """Log of the forward sum of `word` for all languages; very long words in parts of bounded size."""
-        lattice, columns = self._ready[0], self._ready[1]
-        out = np.zeros(len(self.languages))
-        for at in range(0, len(word), PART):
-            part = word[at : at + PART]
-            edges = lattice.edges(_START + part if at == 0 else part)
-            for l, p in enumerate(columns):
-                ahead, log = [1.0], 0.0
-                for some in edges:
-                    s = 0.0
-                    for i, k in some:
-                        s += ahead[i] * p[k]
-                    if s < 1e-200:  # keep the sums in the range of floating point
-                        ahead = [x * 1e200 for x in ahead]
-                        s *= 1e200
-                        log -= 460.51701859880916
-                    ahead.append(s)
-                out[l] += (np.log(ahead[-1]) if ahead[-1] > 0 else -800.0) + log
-        return out
-
     def _learn(self, new: list[str]) -> np.ndarray:
-        """Scores of `new` words, those of one length together."""
-        lattice = self._ready[0]
+        """Scores of `new` words, short ones of one length together."""
+        lattice, columns = self._ready[0], self._ready[1]
         out = np.zeros((len(new), len(self.languages)))
         of_length: dict[int, list[int]] = {}
         for k, w in enumerate(new):
@@ -220,7 +174,7 @@ class Model:
         for length, group in of_length.items():
             for some in (group[i : i + 4096] for i in range(0, len(group), 4096)):
                 if not length:
-                    out[some] = [self._forward(new[k]) for k in some]
+                    out[some] = [lattice.forward(_START + new[k], columns) for k in some]
                     continue
                 spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - lattice.longest), j)]
                 parts = itemgetter(*(slice(i, j) for i, j in spans), slice(0, 0))  # two at least: always a tuple
@@ -232,37 +186,69 @@ class Model:
                 ahead[0] = 1
                 for e, (i, j) in enumerate(spans):
                     ahead[j] += ahead[i] * table[ids[e]]
-                out[some] = np.log(np.maximum(ahead[-1], 1e-300))
+                # A sum that came near the end of the range of numbers is made again with scaling.
+                low = np.flatnonzero((ahead[-1] < _SMALL).any(axis=1))
+                with np.errstate(divide="ignore"):
+                    scores = np.log(ahead[-1])
+                for k in low.tolist():
+                    scores[k] = lattice.forward(_START + new[some[k]], columns)
+                out[some] = scores
         return out
 
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
         """Log of prior and probability of each of `texts`, a column for each language."""
         if not self._ready:
-            self._ready = Lattice(self.pieces), [c.tolist() for c in self.probabilities], Memory(len(self.languages))
+            self._ready = Lattice(self.pieces), [c.tolist() for c in self.probabilities], {}, np.zeros((1024, len(self.languages)))
         memory = self._ready[2]
         total = np.tile(self.prior, (len(texts), 1))
-        group: list[tuple[int, bytes]] = []
+        split = [t.encode().split() for t in texts]
+        # Words of several texts, or some words of one, are looked up together; each text is summed on its own.
+        group: list[tuple[int, list[bytes]]] = []
         size = 0
-        for part in (*((d, p) for d, t in enumerate(texts) for p in _parts(t.encode())), None):
-            if group and (part is None or size + len(part[1]) > CHUNK):
-                hashes, n, buf, starts, ends = chunk_words([p for _, p in group])
-                known, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-                scores, new = memory.get(known)
-                if len(new):
-                    raw = buf.tobytes()
-                    learnt = self._learn([raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in at[new]])
-                    scores[new] = learnt
-                    memory.put(known[new], learnt)
-                filled = np.flatnonzero(n)
-                if len(filled):
-                    sums = np.add.reduceat(scores[back], (np.cumsum(n) - n)[filled], axis=0)
-                    np.add.at(total, [group[k][0] for k in filled], sums)
+        for part in chain(((d, ws[i : i + TOGETHER]) for d, ws in enumerate(split) for i in range(0, len(ws), TOGETHER)), [None]):
+            if group and (part is None or size + len(part[1]) > TOGETHER):
+                flat = [w for _, ws in group for w in ws]
+                ids = list(map(memory.get, flat))
+                if None in ids:
+                    new = list(dict.fromkeys(w for w, k in zip(flat, ids) if k is None))
+                    if len(memory) + len(new) > MEMORY:
+                        memory.clear()
+                        new = list(dict.fromkeys(flat))
+                    learnt, first = self._learn([w.decode() for w in new]), len(memory)
+                    if first + len(new) > len(self._ready[3]):
+                        grown = np.zeros((max(2 * len(self._ready[3]), first + len(new)), len(self.languages)))
+                        grown[:first] = self._ready[3][:first]
+                        self._ready = (*self._ready[:3], grown)
+                    self._ready[3][first : first + len(new)] = learnt
+                    here = dict(zip(new, range(first, first + len(new))))
+                    ids = [here[w] if k is None or w in here else k for w, k in zip(flat, ids)]
+                    short = [w for w in new if len(w) <= MEMORY_BYTES]
+                    if len(short) == len(new):
+                        memory.update(here)
+                    else:  # long words are not kept; their places are given to the next ones
+                        scores = self._ready[3]
+                        picked = scores[ids]
+                        kept = np.array([here[w] for w in short], np.int64)
+                        scores[first : first + len(short)] = scores[kept]
+                        memory.update(zip(short, range(first, first + len(short))))
+                        self._add(total, group, picked)
+                        group, size = [], 0
+                if group:
+                    self._add(total, group, self._ready[3][ids])
                 group, size = [], 0
             if part is not None:
                 group.append(part)
                 size += len(part[1])
         return total
 
+    @staticmethod
+    def _add(total: np.ndarray, group: list[tuple[int, list[bytes]]], scores: np.ndarray) -> None:
+        """Adds the words' scores to those of their texts, a text's own words in one sum of a fixed order."""
+        at = 0
+        for d, ws in group:
+            total[d] += np.cumsum(scores[at : at + len(ws)], axis=0)[-1]
+            at += len(ws)
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language of each text, and its share in the probability of all."""
         out = [("und", 0.0)] * len(texts)
@@ -276,13 +262,14 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None) -> Model:
-    """A model from text and lang of rows outside the held-out fold."""
+def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None, rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """A model from text and lang of rows outside the held-out fold. The driver holds one row for each language and piece
+    of the vocabulary that it uses; words stay in the tasks."""
     spark = docs.sparkSession
     pieces = vocabulary() if pieces is None else pieces
+    size = len(pieces)
     known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id") != 1))
     n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(n)
     share = F.lit(0.0)
     for name, count in n.items():
         share = F.when(F.col("lang") == name, F.lit(sample / count)).otherwise(share)
@@ -293,18 +280,35 @@ def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None
             found = Counter((l, w) for l, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in words(t))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
-    def fit_language(group: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        for w, c in zip(group["word"].to_pylist(), group["n"].to_pylist()):
-            counts[w] += c
-        p = fit(counts, Lattice(pieces), len(pieces))
-        return pa.table({"lang": [group["lang"][0].as_py()], "p": [p.tolist()]})
-
-    counts = picked.select("lang", "text").mapInArrow(count_words, "lang string, word string, n long")
-    fitted = {r.lang: r.p for r in counts.groupBy("lang").applyInArrow(fit_language, "lang string, p array<double>").collect()}
-    languages = [x for x in languages if x in fitted]
+    small_batches(spark)
+    counted = picked.select("lang", "text").mapInArrow(count_words, "lang string, word string, n long")
+    counts = durable(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    table = {x: np.full(size + 1, 1.0 / (size + 1)) for x in languages}
+    for _ in range(rounds if languages else 0):
+        sent = spark.sparkContext.broadcast((pieces, table))
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces, table = sent.value
+            lattice = Lattice(pieces)
+            p = {x: v.tolist() for x, v in table.items()}
+            total: dict[str, list[float]] = {}
+            for batch in batches:
+                for lang, word, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    expected(_START + word, c, lattice, p[lang], total.setdefault(lang, [0.0] * (size + 1)))
+            for lang, t in total.items():
+                t = np.array(t)
+                used = np.flatnonzero(t)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(t[used])], ["lang", "piece", "x"])
+
+        found = counts.mapInArrow(expect, "lang string, piece int, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x"))
+        table = {x: np.full(size + 1, prior) for x in languages}
+        for r in found.collect():
+            table[r.lang][r.piece] += r.x
+        table = {x: v / v.sum() for x, v in table.items()}
+        sent.unpersist()
     whole = sum(n[x] for x in languages)
-    return Model(pieces, languages, np.array([fitted[x] for x in languages]), np.log(np.array([n[x] / whole for x in languages])))
+    return Model(pieces, languages, np.array([table[x] for x in languages]), np.log(np.array([n[x] / whole for x in languages])))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
