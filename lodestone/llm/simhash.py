@@ -4,12 +4,14 @@ Fingerprints are made where the documents are read. Equal fingerprints meet in
 a map-side aggregate, so a group of copies is one key from then on. Two
 fingerprints with at most 2 differing bits agree on one of three blocks of
 bits, so the tries are dealt out by (block, value); a key with too many
-fingerprints is dealt out again by a second and third block of its other bits,
-which bounds each trie and loses no link. In a trie, pairs of nodes are walked
-down together, level by level for all tries of a batch at once; differing bits
-add up, and a pair over the budget is dropped. Each trie passes on the edges
-of a spanning forest only. Components come from star contraction on the
-edges, with a checkpoint in each round.
+fingerprints is dealt out again by blocks of its other bits, level by level,
+which loses no link and bounds each trie: after five levels 8 bits are open.
+In a trie, pairs of nodes are walked down together, level by level for all
+tries of a batch at once; differing bits add up, and a pair over the budget is
+dropped. Each trie passes on the edges of a spanning forest only. Components
+come from star contraction on the edges, with a checkpoint in each round; ids
+come back to documents by a join in which hot fingerprints are broadcast, of
+which there are fewer than a fixed number at any size of input.
 
 Nulls and ties: a null or empty text has no shingles and fingerprint zero,
 linked like any other; null ids rank behind all others and a group of them
@@ -27,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, release, small_batches, table, texts
+from .common import NULL_ID, durable, light, release, small_batches, spread_join, table, texts
 
 WORDS, SEED, BITS = 3, 42, 2
 #: Fingerprints in one trie at most; a key with more is dealt out anew.
 TRIE = 2048
+#: Shingles hashed at once.
+CHUNK = 255 * 128
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -46,22 +50,24 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())], ">u8")
-    n = len(hashes)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1)
-    full = n - n % 255
-    sums = bits[full:].sum(axis=0, dtype=np.int64)
-    if full:  # sums of 255 bits fit in a byte
-        sums += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    n = len(parts) - words + 1
+    sums = np.zeros(64, np.int64)
+    del parts
+    for i in range(0, n, CHUNK):  # a byte for each bit of each hash: a chunk at a time
+        j = min(i + CHUNK, n)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[i:j].tolist(), ends[i + words - 1 : j + words - 1].tolist())], ">u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        full = len(bits) - len(bits) % 255  # sums of 255 bits fit in a byte
+        sums += bits[full:].sum(axis=0, dtype=np.int64) + bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed number) and key (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in texts(batch.column(1))], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, words) for t in texts(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], ["doc_id", "fp", "key"])
 
     small_batches(docs.sparkSession)
@@ -134,104 +140,91 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
     return [(r, x) for x in touched if (r := root(x)) != x]
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) edges from rows that hold the fingerprints of one trie each."""
-    for batch in batches:
-        lists = batch.column(0)
-        sizes = np.diff(lists.offsets.to_numpy())
-        values = lists.flatten().to_numpy().view(np.uint64)
-        at, out = 0, []
-        group: list[int] = []
-        for k in [*range(len(sizes)), None]:
-            # Small tries are walked together; the pairs of one batch stay bounded.
-            if group and (k is None or sizes[group].sum() + sizes[k] > 2 * TRIE):
-                total = int(sizes[group].sum())
-                fps, tries = values[at : at + total], np.repeat(np.arange(len(group)), sizes[group])
-                order = np.lexsort((fps, tries))
-                fps = fps[order]
-                pairs = forest(total, *trie_pairs(fps, tries))
-                out += [(fps[a], fps[b]) for a, b in pairs]
-                at += total
-                group = []
-            if k is not None:
-                group.append(k)
-        found = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-
-def _block_keys(given: int, budget: int = BITS) -> list[tuple[int, int]]:
-    """(shift, width) of budget + 1 blocks of the top `given` bits."""
-    cuts = [given * i // (budget + 1) for i in range(budget + 2)]
-    return [(64 - b, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
-def _deal(rows: DataFrame, level: int, budget: int) -> DataFrame:
-    """`rows` (fp, key) with each key extended by each block of the bits that earlier levels left open."""
-    blocks = _block_keys(64, budget)
-    if level == 0:
-        parts = [F.struct(F.array(F.lit(k).cast("long"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1))).alias("key")) for k, (s, w) in enumerate(blocks)]
-        return rows.select("fp", F.inline(F.array(*parts)).alias("key"))
-    # The open bits are those outside the blocks named in the key: the two other blocks, then what is left of them.
-    width = max(w for _, w in blocks)
-    first = F.col("key")[0]
-    other = [F.when(first == 0, F.lit(blocks[1][0])).otherwise(blocks[0][0]), F.when(first == 2, F.lit(blocks[1][0])).otherwise(blocks[2][0])]
-    size = [F.when(first == 0, F.lit(blocks[1][1])).otherwise(blocks[0][1]), F.when(first == 2, F.lit(blocks[1][1])).otherwise(blocks[2][1])]
-    rest = F.lit(0).cast("long")
-    for s, w in zip(other, size):
-        piece = F.expr("0L") + F.call_function("shiftrightunsigned", F.col("fp"), s)
-        rest = F.shiftleft(rest, width).bitwiseOR(piece.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), w) - 1))
-    bits = 2 * width
-    cuts = [bits * i // (budget + 1) for i in range(budget + 2)]
-    if level == 1:
-        parts = [F.struct(F.concat("key", F.array(F.lit(k).cast("long"), F.shiftright("rest", a).bitwiseAND(F.lit((1 << (b - a)) - 1)))).alias("key")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        return rows.withColumn("rest", rest).select("fp", F.inline(F.array(*parts)).alias("key"))
-    raise ValueError(level)
+def _edges(budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b) edges from rows that hold the fingerprints of one trie each."""
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            values = lists.flatten().to_numpy().view(np.uint64)
+            at, group = 0, []
+            for k in [*range(len(sizes)), None]:
+                # Small tries are walked together; the pairs of one batch stay bounded.
+                if group and (k is None or sizes[group].sum() + sizes[k] > 2 * TRIE):
+                    total = int(sizes[group].sum())
+                    fps, tries = values[at : at + total], np.repeat(np.arange(len(group)), sizes[group])
+                    fps = fps[np.lexsort((fps, tries))]
+                    found = np.array([(fps[a], fps[b]) for a, b in forest(total, *trie_pairs(fps, tries, budget))], np.uint64).reshape(-1, 2).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+                    at += total
+                    group = []
+                if k is not None:
+                    group.append(k)
+
+    return run
+
+
+def _blocks(left: int, budget: int) -> list[int]:
+    """Masks of budget + 1 blocks of the bits set in `left`, of like sizes: two fingerprints within `budget` agree on one of them."""
+    places = [i for i in range(63, -1, -1) if left >> i & 1]
+    cuts = [len(places) * i // (budget + 1) for i in range(budget + 2)]
+    return [sum(1 << p for p in places[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def _deal(rows: DataFrame, used: list[int] | None, budget: int) -> tuple[DataFrame, list[int]]:
+    """`rows` (fp, and mask if dealt before) for each block of the bits that its mask leaves open, with the block added to
+    the mask; and all masks so made. Members of one trie share mask and fp & mask."""
+    if used is None:
+        masks = _blocks(2**64 - 1, budget)
+        return rows.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")), masks
+    found, out = {}, F.lit(None)
+    for u in used:
+        found[u] = [u | b for b in _blocks(~u & 2**64 - 1, budget) if b]
+        out = F.when(F.col("mask") == F.lit(_signed(u)), F.array(*[F.lit(_signed(m)) for m in found[u]])).otherwise(out)
+    return rows.select("fp", F.explode(out).alias("mask")), sorted({m for ms in found.values() for m in ms})
+
+
+#: Times that a key may be dealt anew: five levels leave 8 bits open with a budget of 2, so a trie has 256 members at most.
+LEVELS = 5
 
 
 def links(fps: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints within `budget` bits of each other; `fps` has distinct fp."""
-    dealt = _deal(fps.select("fp"), 0, budget)
+    """Edges (a, b) that connect all fingerprints within `budget` bits of each other; `fps` has distinct fp.
+
+    A key of more than `trie` fingerprints is dealt again by blocks of its other bits. At the last level a key may hold
+    any number, but no more than the open bits allow, and it is walked as a trie like all others."""
+    dealt, masks = _deal(fps.select("fp"), None, budget)
     parts = []
-    for level in (0, 1):
-        sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        hot = durable(sizes.filter(F.col("n") > trie).select("key"))
-        last = hot.isEmpty()
-        cool = dealt if last else dealt.join(hot, "key", "left_anti")
-        parts.append(cool.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps").mapInArrow(_edges, "a long, b long"))
-        if last:
+    for level in range(LEVELS):
+        keyed = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        hot = None
+        if level < LEVELS - 1:
+            hot = durable(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > trie).select("mask", "key"))
+            hot = None if hot.isEmpty() else hot
+        cool = keyed if hot is None else keyed.join(hot, ["mask", "key"], "left_anti")
+        parts.append(cool.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps").mapInArrow(_edges(budget), "a long, b long"))
+        if hot is None:
             break
-        dealt = durable(_deal(dealt.join(hot, "key"), level + 1, budget)) if level == 0 else dealt.join(hot, "key")
-    else:
-        # At most 2**29 values share two blocks; such a key is cut by its numeric order into runs whose tries meet pairwise.
-        parts.append(_wide(dealt, trie))
+        # The same mask may be reached in two ways; a trie is walked once.
+        again, masks = _deal(keyed.join(hot, ["mask", "key"]).select("fp", "mask"), masks, budget)
+        dealt = durable(again.distinct())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _wide(dealt: DataFrame, trie: int) -> DataFrame:
-    """Edges of keys that are still too large: every fingerprint meets its neighbours by single and double bit flips.
-    Each fingerprint asks for at most 1 + 64 + 2016 values, and only values that exist are kept."""
-    flips = np.array([0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)], np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for fp in fps:
-                yield pa.RecordBatch.from_arrays([pa.array((fp ^ flips).view(np.int64)), pa.array(np.full(len(flips), fp).view(np.int64))], ["a", "b"])
-
-    fps = dealt.select("fp").distinct()
-    asked = fps.mapInArrow(run, "a long, b long").filter("a < b")
-    return asked.join(fps.withColumnRenamed("fp", "a"), "a").select("a", "b")
-
-
 # -- components ---------------------------------------------------------------
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of each component of at least two nodes. Star contraction:
-    each round links the larger neighbours of a node, then the smaller ones, to its least neighbour."""
+    each round links the larger neighbours of a node, then the smaller ones, to its least neighbour. A node of very many
+    neighbours is a hot key of both joins, and is broadcast."""
     spark = edges.sparkSession
     edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -241,49 +234,58 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread_join(both, durable(least), "u", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = durable(large)
         # Small star: every node with its smaller neighbours joins the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        joined = spread_join(large, least, "u", 2 * state[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = durable(small.filter("u <> v").distinct())
         release(spark)
 
 
-def classes(rows: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
-    """(fp, root, least) for each fingerprint in `rows`: the least fingerprint and the least doc_id of its component."""
-    ids = F.coalesce("doc_id", F.lit(NULL_ID))
-    firsts = durable(rows.groupBy("fp").agg(F.min(ids).alias("first")))
-    found = components(links(firsts, budget, trie))
-    linked = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).distinct()
-    named = firsts.join(linked, firsts["fp"] == linked["node"]).select("fp", "first", "root")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    better = named.join(least, "root").select("fp", "root", "least")
-    return firsts.join(better, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("least"))
+def classes(rows: DataFrame, node: str, link) -> tuple[DataFrame, int]:
+    """For each `node` of `rows` (doc_id, key, and the node): its number of rows n, the root of its component, and the first
+    row of the component by id and text (least); `link` gives the edges of the distinct nodes. And the number of rows."""
+    rank = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("key"))
+    firsts = durable(rows.groupBy(node).agg(F.min(rank).alias("first"), F.count("*").alias("n")))
+    found = components(link(firsts))
+    linked = durable(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).distinct().withColumnRenamed("node", node))
+    named = linked.join(firsts, node)
+    least = durable(named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")))
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    better = spread_join(named.select(node, "root"), least, "root", total)
+    out = firsts.join(better, node, "left").select(node, "n", F.coalesce("root", node).alias("root"), F.coalesce("least", "first").alias("least"))
+    out = durable(out)
+    return out, out.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def near_duplicates(docs: DataFrame, budget: int = BITS, trie: int = TRIE, words: int = WORDS) -> DataFrame:
+    """doc_id, fp and component_id of each row of `docs`."""
+    rows = durable(fingerprints(docs, words))
+    out = spread_join(rows, *_with(classes(rows, "fp", lambda fps: links(fps, budget, trie)), "fp"))
+    return out.select("doc_id", "fp", F.when(F.col("least.id") != NULL_ID, F.col("least.id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
-    """doc_id, fp and component_id of each row of `docs`."""
-    rows = durable(fingerprints(docs))
-    out = rows.join(classes(rows, budget, trie), "fp")
-    return out.select("doc_id", "fp", F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
+def _with(found: tuple[DataFrame, int], key: str) -> tuple[DataFrame, str, int]:
+    return found[0], key, found[1]
 
 
-def keep_first(docs: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
+def keep_first(docs: DataFrame, budget: int = BITS, trie: int = TRIE, words: int = WORDS) -> DataFrame:
     """One row of `docs` for each group: of least doc_id, and of least hash of the text among equal or null ids."""
-    rows = durable(fingerprints(docs))
-    return first_of_each(docs, rows.join(classes(rows, budget, trie).select("fp", "root"), "fp"))
+    rows = durable(fingerprints(docs, words))
+    return first_of_each(docs, spread_join(rows, *_with(classes(rows, "fp", lambda fps: links(fps, budget, trie)), "fp")))
 
 
 def first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """The first row of `docs` of each root, where `named` has doc_id, key and root of every row."""
-    rank = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("key"))
-    firsts = durable(named.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.key").alias("_key")))
+    """The rows of `docs` that are the first of their group, where `named` has doc_id, key and least of every row. The rows
+    that go are named to the scan if they are few; else texts are shuffled."""
+    named = named.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_i"), F.col("key").alias("_k"), "least")
     keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_k": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = keyed.join(firsts, (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
-    repeated = named.groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    gone = durable(named.filter((F.col("_i") != F.col("least.id")) | (F.col("_k") != F.col("least.key"))).select("_i", "_k").distinct())
+    kept = keyed.join(light(gone), ["_i", "_k"], "left_anti")
+    repeated = named.groupBy("_i", "_k").agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():  # equal rows with equal ids
         kept = kept.dropDuplicates(["_i", "_k"])
     return kept.drop("_i", "_k")

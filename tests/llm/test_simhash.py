@@ -73,3 +73,33 @@ def test_whole_operator_with_nulls_empty_texts_ties_and_clashing_columns(spark):
     assert {c for d, f, c in out if d == 8} == {8}
     assert (None, simhash.fingerprint(b"zz") - (2**64 if simhash.fingerprint(b"zz") >= 2**63 else 0), None) in out
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_a_key_that_is_dealt_at_every_level_keeps_its_links(spark):
+    """Fingerprints that share all but their last 12 bits: each deal leaves a large key but the last."""
+    rng = random.Random(8)
+    fps = sorted(rng.sample(range(4096), 300))
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = classes(fps, 1)
+    for trie in (40, 3):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(frame, 1, trie)).collect()}
+        got = [roots.get(f, f) for f in fps]
+        assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
+
+
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    from lodestone.llm import common
+
+    rows = spark.createDataFrame([(i % 7 if i < 50 else 9, i) for i in range(300)], "k long, v long")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", rows["k"] * 2)
+    want = sorted((k, v, 2 * k) for k, v in rows.collect())
+    for least in (64, 5, 10_000):
+        monkeypatch.setattr(common, "LEAST_HOT", least)
+        assert sorted(map(tuple, common.spread_join(rows, keyed, "k", 300).select("k", "v", "x").collect())) == want
+
+
+def test_a_long_text_takes_bounded_memory_and_keeps_its_fingerprint(monkeypatch):
+    text = " ".join(f"w{i % 977}" for i in range(5000)).encode()
+    want = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "CHUNK", 300)
+    assert simhash.fingerprint(text) == want
