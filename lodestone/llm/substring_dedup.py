@@ -1,16 +1,23 @@
 """Operator 1: exact substring deduplication by seed and extend.
 
-Seeds are winnowed anchors: in each window of 13 words, the 5-word sequence of
-least hash. Equal windows have equal anchors, so documents that share a window
-meet in the join on anchors. Around anchors that two documents share, matches
-are extended both ways: the windows that hold the anchor are compared by their
-13-word hashes, and a window that also starts in a document of smaller doc_id
-is part of a repeat. Overlapping windows merge into maximal repeats, and the
-words that they cover are removed.
-
-Counts are map-side first, so a passage that a third of all documents share
-is one row for each task; joins are equi-joins on hashes that Spark splits if
-a key is hot. No pairs of documents are formed.
+Seeds are winnowed anchors: of the 5-word sequences in each window of 13
+words, the one of least hash. Equal windows have equal anchors at the same
+place, so texts that share a window meet in the join on anchors. Each
+occurrence of an anchor that two documents share then brings the words around
+it, as many on either side as a window can reach. Matches are extended both
+ways on these words: the occurrences of an anchor are met in the order of
+their doc_id, and split into classes by the words on the left and the right,
+for each way to share the length of a window between the two sides; each
+class remembers its least doc_id, so no pair of occurrences is formed. What
+an occurrence shares with a smaller document is a match, matches of
+neighbouring anchors merge into maximal repeats, and the words of repeats of
+13 words or more are removed.
+
+Hashes only bring occurrences together; matches are compared as words.
+Surroundings that many documents share are one row after map-side aggregates,
+whatever the number of documents; hot anchors and surroundings are joined by a
+broadcast of bounded size; an anchor with very many different surroundings is
+dealt out by the words of its windows.
 
 Nulls and ties: a null text has no words; null ids rank behind all others;
 rows with equal doc_id, repeated rows included, do not remove from each other;
@@ -21,37 +28,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, release, runs, small_batches, table, texts, word_hashes
+from .common import NULL_ID, Scratch, chunk_words, release, runs, small_batches, spread_join, table, texts
 
 WINDOW, SEED = 13, 5
-
-
-def windows(hashes: np.ndarray, firsts: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor and hash of each window, and the place of its first word. `firsts` has each document's first word, then the end."""
-    anchors = runs(hashes, seed, seed=3)
-    width = window - seed + 1
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    level, span = anchors, 1
-    while 2 * span <= width:
-        level, span = np.minimum(level[:-span], level[span:]), 2 * span
-    level = np.minimum(level[:n], level[width - span : width - span + n])
-    lengths = np.diff(firsts)
-    left = np.repeat(firsts[1:], lengths) - np.arange(len(hashes))  # words from here to the end of the document
-    at = np.flatnonzero(left[:n] >= window)
-    return level[at], runs(hashes, window, seed=5)[at], at
-
-
-def _ids(column) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+#: Different surroundings of one anchor that are met in one task; an anchor with more is dealt out.
+WIDE = 20_000
 
 
 def _slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -62,114 +51,212 @@ def _slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator
             yield batch.slice(i, step)
 
 
+def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """`pick` (minimum or maximum) of each `width` consecutive items, by doubling."""
+    n, level, span = len(x) - width + 1, x, 1
+    while 2 * span <= width:
+        level, span = pick(level[:-span], level[span:]), 2 * span
+    return pick(level[:n], level[width - span : width - span + n])
+
+
+def anchors(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first word, and hash, of each anchor: a `seed`-word sequence of least hash in some window of its
+    document. `hashes` are those of all words, `counts` the words of each document."""
+    n, width = len(hashes) - window + 1, window - seed + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams = runs(hashes, seed, seed=3) | np.uint64(1)
+    least = _slide(grams, width, np.minimum)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))  # words from here to the end of the document
+    least[left[:n] < window] = 0
+    # A sequence is the least of a window that holds it if the greatest of those windows' least is its own.
+    pad = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == grams)
+    return at, grams[at]
+
+
 def _signed(x: np.ndarray):
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def anchors_of(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(a, d): the distinct anchors of each document."""
+def _plain(column) -> list[bytes]:
+    """The words of each text, with one space between."""
+    return [b" ".join(t.split()) for t in texts(column)]
+
+
+def anchors_of(rows: DataFrame, window: int, seed: int) -> DataFrame:
+    """(a, d, k): the distinct anchors of each row (d, k, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            hashes, firsts = word_hashes(texts(batch.column(1)))
-            a, _, at = windows(hashes, firsts, window, seed)
-            doc = np.searchsorted(firsts, at, "right") - 1
+            hashes, counts, *_ = chunk_words(_plain(batch.column(2)))
+            at, a = anchors(hashes, counts, window, seed)
+            doc = np.searchsorted(np.cumsum(counts), at, "right")
+            order = np.lexsort((a, doc))
+            a, doc = a[order], doc[order]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(a[new]), pa.array(_ids(batch.column(0))[doc[new]])], ["a", "d"])
+            d, k = (batch.column(i).to_numpy(zero_copy_only=False)[doc[new]] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([_signed(a[new]), pa.array(d), pa.array(k)], ["a", "d", "k"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "a long, d long")
+    return rows.mapInArrow(run, "a long, d long, k long")
 
 
-def _windows_of(window: int, seed: int):
+def _occurrences(window: int, seed: int):
+    """(a, d, k, p, left, h, around) from rows (d, k, text, seeds): each place p of a shared anchor, with up to `window - seed`
+    words on either side (left of them before it), and a digest h of them. `around` is null where this batch has said it
+    for a document of no greater id."""
+    reach = window - seed
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            docs, shared = texts(batch.column(1)), batch.column(2)
-            hashes, firsts = word_hashes(docs)
-            a, w, at = windows(hashes, firsts, window, seed)
-            doc = np.searchsorted(firsts, at, "right") - 1
+            shared = batch.column(3)
+            hashes, counts, buf, starts, ends = chunk_words(_plain(batch.column(2)))
+            at, a = anchors(hashes, counts, window, seed)
+            last = np.cumsum(counts)
+            first = last - counts
+            doc = np.searchsorted(last, at, "right")
             keep = np.zeros(len(a), bool)
-            bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
+            bounds = np.searchsorted(doc, np.arange(len(counts) + 1))
             offsets, values = shared.offsets.to_numpy(), shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(len(docs)):
-                s = slice(bounds[k], bounds[k + 1])
-                keep[s] = np.isin(a[s], values[offsets[k] : offsets[k + 1]])
-            yield pa.RecordBatch.from_arrays([_signed(w[keep]), pa.array(_ids(batch.column(0))[doc[keep]])], ["w", "d"])
+            for i in range(len(counts)):
+                s = slice(bounds[i], bounds[i + 1])
+                keep[s] = np.isin(a[s], values[offsets[i] : offsets[i + 1]])
+            at, a, doc = at[keep], a[keep], doc[keep]
+            low = np.maximum(at - reach, first[doc])
+            high = np.minimum(at + seed + reach, last[doc])
+            d, k = (batch.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
+            raw, digest = buf.tobytes(), xxhash.xxh3_128_digest
+            left = (at - low).astype(np.int8)
+            said = [raw[x:y] for x, y in zip(starts[low].tolist(), ends[high - 1].tolist())] if len(at) else []
+            h = [digest(w, x) for w, x in zip(said, left.tolist())]
+            known: dict[bytes, int] = {}
+            around: list = [None] * len(h)
+            for i in np.argsort(d, kind="stable").tolist():
+                if h[i] not in known:
+                    known[h[i]] = i
+                    around[i] = said[i]
+            yield pa.RecordBatch.from_arrays(
+                [_signed(a), pa.array(d), pa.array(k), pa.array((at - first[doc]).astype(np.int32)), pa.array(left), pa.array(h, pa.binary()), pa.array(around, pa.binary())],
+                ["a", "d", "k", "p", "left", "h", "around"],
+            )
 
     return run
 
 
-def _strip(window: int, seed: int):
+def _extend(window: int, seed: int):
+    """(h, firsts) from surroundings (a, d, left, h, around) in the order of a and d: for each number of words that a window
+    has before the anchor, the least d of the surroundings with the same words in it; null where there is no such window."""
+    reach = window - seed
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            docs, repeats = texts(batch.column(1)), batch.column(2).to_pylist()
-            n_words, n_removed, kept = [], [], []
-            hit = [k for k, r in enumerate(repeats) if r]
-            hashes, firsts = word_hashes([docs[k] for k in hit])
-            _, w, at = windows(hashes, firsts, window, seed)
-            place = dict(zip(hit, range(len(hit))))
-            for k, text in enumerate(docs):
-                words = text.split()
-                removed = 0
-                if k in place:
-                    a, b = firsts[place[k]], firsts[place[k] + 1]
-                    s = slice(*np.searchsorted(at, [a, b]))
-                    starts = at[s][np.isin(w[s], np.array(repeats[k], np.int64).view(np.uint64))] - a
-                    # Merge the windows into maximal repeats.
-                    edge = np.zeros(b - a + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    removed = int(covered.sum())
-                    n_words.append(len(words))
-                    words = compress(words, (~covered).tolist())
-                else:
-                    n_words.append(len(words))
-                n_removed.append(removed)
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_removed, pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
-                ],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
+        anchor, classes = None, {}
+        for batch in batches:
+            out = []
+            for a, d, left, around in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
+                if a != anchor:
+                    anchor, classes = a, {}
+                ends = list(accumulate((len(w) + 1 for w in around.split(b" ")), initial=0))
+                firsts: list = []
+                for o in range(reach + 1):
+                    i = left - o
+                    firsts.append(classes.setdefault((around[ends[i] : ends[i + window] - 1]), d) if i >= 0 and i + window < len(ends) else None)
+                out.append(firsts)
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(out, pa.list_(pa.int64()))], ["h", "firsts"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def _extend_wide(rows: DataFrame, window: int, seed: int) -> DataFrame:
+    """The same for anchors of very many surroundings: their windows meet by their words, wherever they are."""
+    reach = window - seed
+    said = F.split(F.col("around").cast("string"), " ")
+    each = rows.select("h", "d", "left", said.alias("ws")).select("h", "d", "left", "ws", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("o"))
+    each = each.filter((F.col("o") <= F.col("left")) & (F.size("ws") >= F.col("left") - F.col("o") + window))
+    each = each.select("h", "d", "o", F.array_join(F.slice("ws", F.col("left") - F.col("o") + 1, window), " ").alias("w"))
+    least = each.groupBy("w").agg(F.min("d").alias("f"), F.count("*").alias("n"))
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = spread_join(each, least, "w", total).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("o", "f"))).alias("m"))
+    return found.select("h", F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda o: F.try_element_at("m", o)).alias("firsts"))
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The result from rows (doc_id, text, spans of words)."""
+    for batch in _slices(batches):
+        n_words, n_removed, kept = [], [], []
+        for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
+            words = text.split()
+            removed = 0
+            n_words.append(len(words))
+            if spans:
+                # Matches merge into maximal repeats.
+                edge = np.zeros(len(words) + 1, np.int64)
+                places = np.array([(s["s"], s["e"]) for s in spans], np.int64)
+                np.add.at(edge, places[:, 0], 1)
+                np.add.at(edge, places[:, 1], -1)
+                covered = np.cumsum(edge[:-1]) > 0
+                removed = int(covered.sum())
+                words = compress(words, (~covered).tolist())
+            n_removed.append(removed)
+            kept.append(b" ".join(words))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(n_words, pa.int64()),
+                pa.array(n_removed, pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                pa.array(kept, pa.binary()).cast(pa.string()),
+            ],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+        )
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wide: int = WIDE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left) of each row of `docs`."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rank = F.coalesce("doc_id", F.lit(NULL_ID))
+    # A row is known by its id and its text; equal rows have equal words to remove.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text", F.col("doc_id").cast("long").alias("doc_id"))
 
-    found = scratch.keep(anchors_of(docs, window, seed), "anchors")
-    shared = scratch.keep(found.groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x < y").select("a"), "shared")
-    release(spark)
-    seeds = scratch.keep(found.join(shared, "a").groupBy("d").agg(F.collect_list("a").alias("seeds")), "seeds")
+    found = scratch.keep(anchors_of(rows.select("d", "k", "text"), window, seed), "anchors")
+    shared = scratch.keep(found.groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.count("*").alias("n")).filter("x < y").select("a", "n"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seeds = scratch.keep(spread_join(found, shared, "a", total).groupBy("d", "k").agg(F.collect_list("a").alias("seeds")), "seeds")
     scratch.drop("anchors")
+    scratch.drop("shared")
     release(spark)
 
-    rows = docs.withColumn("_d", rank)
-    seeded = rows.join(seeds.hint("shuffle_hash"), rows["_d"] == seeds["d"]).select("doc_id", "text", "seeds")
-    near = scratch.keep(seeded.mapInArrow(_windows_of(window, seed), "w long, d long"), "windows")
+    seeded = rows.select("d", "k", "text").join(seeds, ["d", "k"]).select("d", "k", "text", "seeds")
+    held = scratch.keep(seeded.mapInArrow(_occurrences(window, seed), "a long, d long, k long, p int, left byte, h binary, around binary"), "occurrences")
+    scratch.drop("seeds")
     release(spark)
-    first = scratch.keep(near.groupBy("w").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x < y").select("w", "x"), "first")
+    # Surroundings once each, with their least and greatest document and how often they occur.
+    said = held.groupBy("a", "h", "left").agg(F.min("d").alias("d"), F.max("d").alias("most"), F.count("*").alias("n"), F.max("around").alias("around"))
+    said = scratch.keep(said, "surroundings")
     release(spark)
-    repeats = scratch.keep(near.join(first, "w").filter("d > x").groupBy("d").agg(F.collect_list("w").alias("repeats")), "repeats")
-    for name in ("shared", "seeds", "windows", "first"):
+    many = scratch.keep(said.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > wide).select("a"), "wide")
+    cool = said if many.isEmpty() else said.join(many, "a", "left_anti")
+    ways = cool.select("a", "d", "left", "h", "around").repartition("a").sortWithinPartitions("a", "d").mapInArrow(_extend(window, seed), "h binary, firsts array<long>")
+    if cool is not said:
+        ways = ways.unionByName(_extend_wide(said.join(many, "a"), window, seed))
+    # Only surroundings that some occurrence shares with a smaller document.
+    ways = scratch.keep(ways.join(said.select("h", "most", "n"), "h").filter(F.array_min("firsts") < F.col("most")).select("h", "n", "firsts"), "ways")
+    total = ways.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = spread_join(held.select("d", "k", "p", "h"), ways, "h", total)
+    starts = F.filter(F.transform("firsts", lambda f, o: F.when(f < F.col("d"), F.col("p") - o)), lambda x: x.isNotNull())
+    # Windows of one anchor that follow each other are one match.
+    runs_of = F.filter(starts, lambda s: ~F.array_contains(starts, s - 1))
+    ends = F.filter(starts, lambda s: ~F.array_contains(starts, s + 1))
+    spans = met.select("d", "k", F.arrays_zip(F.array_sort(runs_of).alias("s"), F.array_sort(ends).alias("t")).alias("z")).select("d", "k", F.inline("z").alias("s", "t"))
+    spans = spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", (F.col("t") + window).alias("e"))).alias("spans"))
+    spans = scratch.keep(spans, "spans")
+    for name in ("occurrences", "surroundings", "wide", "ways"):
         scratch.drop(name)
     release(spark)
 
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    out = rows.join(repeats.hint("shuffle_hash"), rows["_d"] == repeats["d"], "left").select("doc_id", "text", "repeats")
-    return out.mapInArrow(_strip(window, seed), kinds)
+    return rows.join(spans, ["d", "k"], "left").select("doc_id", "text", "spans").mapInArrow(_strip, kinds)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
