@@ -45,9 +45,9 @@ from .common import fold, small_batches, table, texts
 #: Labelled rows of each class in training, about; longest text among them, in bytes.
 SAMPLE, SAMPLE_BYTES = 3000, 30_000
 #: Words of a window; rounds; distance that a first window, and the least one of a word, must reach in round 1 and later.
-SPAN, ROUNDS, FIRST, BARS = 4, 7, 2, (1.0, 1.5)
+SPAN, ROUNDS, FIRST, BARS = 4, 7, 3, (1.0, 1.5)
 #: Bytes of the ordinary dictionary, of the toxic one in round 1 and later, and of windows that one is trained on.
-ORDINARY, TOXIC, TRAINED = 240_000, (112_000, 12_000), 2 << 20
+ORDINARY, TOXIC, TRAINED = 120_000, (112_000, 12_000), 2 << 20
 #: Length of segments (all windows, stretches) and of byte sequences in the choice of a dictionary's content.
 SEGMENTS, GRAM, LEVEL = (32, 16), 6, 12
 DISTANCES = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
@@ -110,15 +110,16 @@ class Model:
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
-    def distances(self, text: bytes) -> list[int]:
-        """Bytes that the toxic dictionary of each pair saves on one window."""
+    def distance(self, text: bytes, pair: int = 0) -> int:
+        """Bytes that the toxic dictionary of a pair saves on one window."""
         if not self._ready:
             self._ready = [(compressor(a), compressor(a + b)) for a, b in self.pairs]
-        return [len(a(text)) - len(b(text)) for a, b in self._ready]
+        plain, both = self._ready[pair]
+        return len(plain(text)) - len(both(text))
 
     def evidence(self, text: bytes) -> tuple[list[tuple[float, bytes]], int]:
-        """For each window side by side whose first distance passes: the greatest least distance of one of its words, and
-        that word with its neighbours; and the number of windows. Texts are read in stretches that overlap."""
+        """For each window side by side that passes with the first pair: the greatest least distance of one of its words, if
+        it counts, and that word with its neighbours; and the number of windows. Texts are read in stretches that overlap."""
         text = text.lower()
         out: list[tuple[float, bytes]] = []
         ws: list[bytes] = []
@@ -130,22 +131,30 @@ class Model:
             whole = end < 0
             ws += text[begin:].split() if whole else text[begin:end].split()
             last = max(0, len(ws) - SPAN)
-            memo: dict[int, list[int]] = {}
+            memo: dict[int, float] = {}
 
-            def distances(j: int) -> list[int]:
+            def mean(j: int) -> float:
                 if j not in memo:
-                    memo[j] = self.distances(window(ws, j))
+                    w = window(ws, j)
+                    memo[j] = sum(self.distance(w, k) for k in range(len(self.pairs))) / len(self.pairs)
                 return memo[j]
 
+            def least(p: int) -> float:
+                """The least distance of the windows that hold word p, or 0 if one is too small to count."""
+                found = mean(at)
+                for j in range(max(0, p - SPAN + 1), min(p, last) + 1):
+                    if (d := mean(j)) < DISTANCES[0]:
+                        return 0.0
+                    found = min(found, d)
+                return found
+
             # In a stretch that goes on, only windows with all their neighbours are judged yet.
             while ws and at <= (last if whole else last - SPAN):
                 n += 1
-                if distances(at)[0] >= FIRST:
-                    best, place = -1.0, at
-                    for p in range(at, min(at + SPAN, len(ws))):
-                        least = min(sum(distances(j)) / len(self.pairs) for j in range(max(0, p - SPAN + 1), min(p, last) + 1))
-                        best, place = max((best, place), (least, p), key=lambda x: x[0])
-                    out.append((best, window(ws, max(0, place - 1), 3)))
+                if self.distance(window(ws, at)) >= FIRST and mean(at) >= DISTANCES[0]:
+                    best, place = max(((least(p), p) for p in range(at, min(at + SPAN, len(ws)))), key=lambda x: x[0])
+                    if best:
+                        out.append((best, window(ws, max(0, place - 1), 3)))
                 # The last window reaches to the end.
                 at = last if at < last < at + SPAN else at + SPAN
             drop = max(0, at - SPAN + 1)
