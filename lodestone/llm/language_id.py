@@ -44,8 +44,8 @@ NAME = "piece_bpe_32k.model"
 SAMPLE, SAMPLE_BYTES, ROUNDS, PRIOR = 1000, 100_000, 4, 0.02
 #: Words of up to so many characters are scored many at a time, longer ones alone; no result depends on it.
 SHORT = 40
-#: Words that a worker remembers, and their greatest length in bytes; words of one text scored together.
-MEMORY, MEMORY_BYTES, TOGETHER = 400_000, 64, 1 << 16
+#: Words that a worker remembers, and their greatest length in bytes; bytes of a text counted at once, words looked up together.
+MEMORY, MEMORY_BYTES, PART, TOGETHER = 800_000, 64, 1 << 20, 1 << 16
 #: Below the first, running sums are scaled up; below the second, a sum made without scaling is made again with it.
 _LOW, _SMALL = 1e-60, 1e-200
 _LETTER = regex.compile(r"\p{L}")
@@ -148,6 +148,27 @@ def fit(counts: dict[str, int], lattice: Lattice, size: int, rounds: int = ROUND
     return np.array(p)
 
 
+def _parts(text: bytes) -> Iterator[bytes]:
+    """`text` cut at spaces into parts of about PART bytes, or more where a word is longer."""
+    at = 0
+    while len(text) - at > PART and (end := text.find(b" ", at + PART)) >= 0:
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _groups(said: list[tuple[int, Counter]], limit: int) -> Iterator[list[tuple[int, Counter]]]:
+    group, size = [], 0
+    for item in said:
+        if group and size + len(item[1]) > limit:
+            yield group
+            group, size = [], 0
+        group.append(item)
+        size += len(item[1])
+    if group:
+        yield group
+
+
 class Model:
     """Log probabilities of words in each language."""
 
@@ -195,60 +216,45 @@ class Model:
                 out[some] = scores
         return out
 
+    def _scores(self, ws: list[bytes]) -> np.ndarray:
+        """Scores of distinct words, in their order."""
+        memory = self._ready[2]
+        ids = list(map(memory.get, ws))
+        if None not in ids:
+            return self._ready[3][ids]
+        new = [w for w, k in zip(ws, ids) if k is None]
+        learnt = self._learn([w.decode() for w in new])
+        out = np.empty((len(ws), len(self.languages)))
+        missing = np.array([k is None for k in ids])
+        out[~missing] = self._ready[3][[k for k in ids if k is not None]]
+        out[missing] = learnt
+        kept = [i for i, w in enumerate(new) if len(w) <= MEMORY_BYTES]
+        if len(memory) + len(kept) > MEMORY:
+            memory.clear()
+            kept = kept[:MEMORY]
+        first = len(memory)
+        self._ready[3][first : first + len(kept)] = learnt[kept]
+        memory.update(zip((new[i] for i in kept), range(first, first + len(kept))))
+        return out
+
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
-        """Log of prior and probability of each of `texts`, a column for each language."""
+        """Log of prior and probability of each of `texts`, a column for each language. A text is read in parts, in each of
+        which its distinct words count as often as they are said; neither depends on other texts."""
         if not self._ready:
-            self._ready = Lattice(self.pieces), [c.tolist() for c in self.probabilities], {}, np.zeros((1024, len(self.languages)))
-        memory = self._ready[2]
+            self._ready = Lattice(self.pieces), [c.tolist() for c in self.probabilities], {}, np.zeros((MEMORY, len(self.languages)))
         total = np.tile(self.prior, (len(texts), 1))
-        split = [t.encode().split() for t in texts]
-        # Words of several texts, or some words of one, are looked up together; each text is summed on its own.
-        group: list[tuple[int, list[bytes]]] = []
-        size = 0
-        for part in chain(((d, ws[i : i + TOGETHER]) for d, ws in enumerate(split) for i in range(0, len(ws), TOGETHER)), [None]):
-            if group and (part is None or size + len(part[1]) > TOGETHER):
-                flat = [w for _, ws in group for w in ws]
-                ids = list(map(memory.get, flat))
-                if None in ids:
-                    new = list(dict.fromkeys(w for w, k in zip(flat, ids) if k is None))
-                    if len(memory) + len(new) > MEMORY:
-                        memory.clear()
-                        new = list(dict.fromkeys(flat))
-                    learnt, first = self._learn([w.decode() for w in new]), len(memory)
-                    if first + len(new) > len(self._ready[3]):
-                        grown = np.zeros((max(2 * len(self._ready[3]), first + len(new)), len(self.languages)))
-                        grown[:first] = self._ready[3][:first]
-                        self._ready = (*self._ready[:3], grown)
-                    self._ready[3][first : first + len(new)] = learnt
-                    here = dict(zip(new, range(first, first + len(new))))
-                    ids = [here[w] if k is None or w in here else k for w, k in zip(flat, ids)]
-                    short = [w for w in new if len(w) <= MEMORY_BYTES]
-                    if len(short) == len(new):
-                        memory.update(here)
-                    else:  # long words are not kept; their places are given to the next ones
-                        scores = self._ready[3]
-                        picked = scores[ids]
-                        kept = np.array([here[w] for w in short], np.int64)
-                        scores[first : first + len(short)] = scores[kept]
-                        memory.update(zip(short, range(first, first + len(short))))
-                        self._add(total, group, picked)
-                        group, size = [], 0
-                if group:
-                    self._add(total, group, self._ready[3][ids])
-                group, size = [], 0
-            if part is not None:
-                group.append(part)
-                size += len(part[1])
+        said = [(d, Counter(part.split())) for d, t in enumerate(texts) for part in _parts(t.encode())]
+        # Words of several texts are looked up together.
+        for some in _groups(said, TOGETHER):
+            distinct = dict.fromkeys(chain.from_iterable(c for _, c in some))
+            scores = self._scores(list(distinct))
+            place = dict(zip(distinct, range(len(distinct))))
+            for d, c in some:
+                if c:
+                    times = np.fromiter(c.values(), float, len(c))
+                    total[d] += (scores[list(map(place.__getitem__, c))] * times[:, None]).sum(axis=0)
         return total
 
-    @staticmethod
-    def _add(total: np.ndarray, group: list[tuple[int, list[bytes]]], scores: np.ndarray) -> None:
-        """Adds the words' scores to those of their texts, a text's own words in one sum of a fixed order."""
-        at = 0
-        for d, ws in group:
-            total[d] += np.cumsum(scores[at : at + len(ws)], axis=0)[-1]
-            at += len(ws)
-
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language of each text, and its share in the probability of all."""
         out = [("und", 0.0)] * len(texts)

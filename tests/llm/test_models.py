@@ -83,8 +83,7 @@ def test_scores_do_not_depend_on_what_was_scored_before(monkeypatch):
         monkeypatch.setattr(language_id, "TOGETHER", together)
         one = new()
         for _ in range(2):
-            assert (one.log_probabilities(texts) == (want if together == 1 << 16 else one.log_probabilities(texts))).all()
-        assert one.log_probabilities(texts) == pytest.approx(want, rel=1e-12)
+            assert (one.log_probabilities(texts) == want).all()
 
 
 def test_query_equals_brute_force_fit_and_prediction(spark):
@@ -200,7 +199,7 @@ def test_window_distances_and_evidence_equal_brute_force():
                 words = range(i, min(i + span, len(ws)))
                 want.append(max(min(sum(d) / len(d) for j, d in enumerate(far) if j <= p < j + span) for p in words))
         found, n = model.evidence(text)
-        assert [x for x, _ in found] == want and n == len(starts)
+        assert [x for x, _ in found] == [x for x in want if x >= toxicity.DISTANCES[0]] and n == len(starts)
 
 
 def test_long_texts_are_read_in_stretches_with_the_same_evidence(monkeypatch):
