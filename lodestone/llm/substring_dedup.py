@@ -27,6 +27,7 @@ windows are judged on the input; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, compress
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, Scratch, chunk_words, release, runs, small_batches, spread_join, table, texts
 
 WINDOW, SEED = 13, 5
-#: Different surroundings of one anchor that are met in one task; an anchor with more is dealt out.
+#: Rows of surroundings of one anchor that are met in one task; an anchor with more is summed up first, and dealt out if need be.
 WIDE = 20_000
 
 
@@ -103,9 +104,9 @@ def anchors_of(rows: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _occurrences(window: int, seed: int):
-    """(a, d, k, p, left, h, around) from rows (d, k, text, seeds): each place p of a shared anchor, with up to `window - seed`
-    words on either side (left of them before it), and a digest h of them. `around` is null where this batch has said it
-    for a document of no greater id."""
+    """(a, d, k, p, left, h, around, most, n) from rows (d, k, text, seeds): each place p of a shared anchor, with a digest h of
+    the words around it, up to `window - seed` on either side (left of them before it). The words themselves come once in
+    a batch, with its least document that has them, its greatest one (most) and the number of places (n)."""
     reach = window - seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,39 +131,66 @@ def _occurrences(window: int, seed: int):
             left = (at - low).astype(np.int8)
             said = [raw[x:y] for x, y in zip(starts[low].tolist(), ends[high - 1].tolist())] if len(at) else []
             h = [digest(w, x) for w, x in zip(said, left.tolist())]
-            known: dict[bytes, int] = {}
-            around: list = [None] * len(h)
-            for i in np.argsort(d, kind="stable").tolist():
-                if h[i] not in known:
-                    known[h[i]] = i
-                    around[i] = said[i]
+            # The first place of each digest in the order of documents, the last one, and how many there are.
+            order = np.argsort(d, kind="stable")
+            firsts: dict[bytes, int] = {}
+            lasts: dict[bytes, int] = {}
+            for i in order.tolist():
+                firsts.setdefault(h[i], i)
+                lasts[h[i]] = i
+            times = Counter(h)
+            around, most, n = ([None] * len(h) for _ in range(3))
+            for x, i in firsts.items():
+                around[i], most[i], n[i] = said[i], int(d[lasts[x]]), times[x]
             yield pa.RecordBatch.from_arrays(
-                [_signed(a), pa.array(d), pa.array(k), pa.array((at - first[doc]).astype(np.int32)), pa.array(left), pa.array(h, pa.binary()), pa.array(around, pa.binary())],
-                ["a", "d", "k", "p", "left", "h", "around"],
+                [
+                    *(_signed(a), pa.array(d), pa.array(k), pa.array((at - first[doc]).astype(np.int32)), pa.array(left), pa.array(h, pa.binary())),
+                    *(pa.array(around, pa.binary()), pa.array(most, pa.int64()), pa.array(n, pa.int64())),
+                ],
+                ["a", "d", "k", "p", "left", "h", "around", "most", "n"],
             )
 
     return run
 
 
 def _extend(window: int, seed: int):
-    """(h, firsts) from surroundings (a, d, left, h, around) in the order of a and d: for each number of words that a window
-    has before the anchor, the least d of the surroundings with the same words in it; null where there is no such window."""
+    """(h, n, firsts) from surroundings (a, d, left, h, around, most, n) in the order of a and d: for each number of words that
+    a window has before the anchor, the least d of the surroundings with the same words in it, or null where there is no
+    such window. Only surroundings that some document shares with a smaller one are passed on."""
     reach = window - seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, classes = None, {}
+        anchor: int | None = None
+        classes: dict[bytes, int] = {}
+        met: dict[bytes, list] = {}
+        done: list[tuple] = []
+
+        def close() -> None:
+            done.extend((h, n, firsts) for h, (most, n, firsts) in met.items() if min((f for f in firsts if f is not None), default=most) < most)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["h", "n", "firsts"])
+
         for batch in batches:
-            out = []
-            for a, d, left, around in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
+            for a, d, left, h, around, most, n in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if a != anchor:
-                    anchor, classes = a, {}
-                ends = list(accumulate((len(w) + 1 for w in around.split(b" ")), initial=0))
-                firsts: list = []
-                for o in range(reach + 1):
-                    i = left - o
-                    firsts.append(classes.setdefault((around[ends[i] : ends[i + window] - 1]), d) if i >= 0 and i + window < len(ends) else None)
-                out.append(firsts)
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(out, pa.list_(pa.int64()))], ["h", "firsts"])
+                    close()
+                    anchor, classes, met = a, {}, {}
+                known = met.get(h)
+                if known:
+                    known[0], known[1] = max(known[0], most), known[1] + n
+                    continue
+                ends = list(accumulate(map(len, around.split(b" ")), lambda x, y: x + y + 1, initial=-1))
+                # The words after the i-th end: each end is one before the next word's start.
+                firsts: list = [None] * (reach + 1)
+                for o in range(max(0, left + window - len(ends) + 1), min(left, reach) + 1):
+                    firsts[o] = classes.setdefault(around[ends[left - o] + 1 : ends[left - o + window]], d)
+                met[h] = [most, n, firsts]
+            if len(done) > 10_000:
+                yield batch_of(done)
+                done = []
+        close()
+        yield batch_of(done)
 
     return run
 
@@ -171,13 +199,14 @@ def _extend_wide(rows: DataFrame, window: int, seed: int) -> DataFrame:
     """The same for anchors of very many surroundings: their windows meet by their words, wherever they are."""
     reach = window - seed
     said = F.split(F.col("around").cast("string"), " ")
-    each = rows.select("h", "d", "left", said.alias("ws")).select("h", "d", "left", "ws", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("o"))
+    each = rows.select("h", "d", "left", "most", said.alias("ws")).select("h", "d", "left", "most", "ws", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("o"))
     each = each.filter((F.col("o") <= F.col("left")) & (F.size("ws") >= F.col("left") - F.col("o") + window))
-    each = each.select("h", "d", "o", F.array_join(F.slice("ws", F.col("left") - F.col("o") + 1, window), " ").alias("w"))
+    each = each.select("h", "d", "most", "o", F.array_join(F.slice("ws", F.col("left") - F.col("o") + 1, window), " ").alias("w"))
     least = each.groupBy("w").agg(F.min("d").alias("f"), F.count("*").alias("n"))
     total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = spread_join(each, least, "w", total).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("o", "f"))).alias("m"))
-    return found.select("h", F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda o: F.try_element_at("m", o)).alias("firsts"))
+    found = found.select("h", F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda o: F.try_element_at("m", o)).alias("firsts"))
+    return found.join(rows.select("h", "most", "n"), "h").filter(F.array_min("firsts") < F.col("most")).select("h", "n", "firsts")
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,30 +257,34 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wid
     release(spark)
 
     seeded = rows.select("d", "k", "text").join(seeds, ["d", "k"]).select("d", "k", "text", "seeds")
-    held = scratch.keep(seeded.mapInArrow(_occurrences(window, seed), "a long, d long, k long, p int, left byte, h binary, around binary"), "occurrences")
+    kinds = "a long, d long, k long, p int, left byte, h binary, around binary, most long, n long"
+    held = scratch.keep(seeded.mapInArrow(_occurrences(window, seed), kinds), "occurrences")
     scratch.drop("seeds")
     release(spark)
-    # Surroundings once each, with their least and greatest document and how often they occur.
-    said = held.groupBy("a", "h", "left").agg(F.min("d").alias("d"), F.max("d").alias("most"), F.count("*").alias("n"), F.max("around").alias("around"))
-    said = scratch.keep(said, "surroundings")
+    said = held.filter("n is not null").select("a", "d", "left", "h", "around", "most", "n")
+    many = scratch.keep(said.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > wide).select("a"), "many")
+    met = said
+    if not many.isEmpty():
+        # What is said in many batches is summed up before it moves; anchors that still have too much are dealt out.
+        often = said.join(many, "a").groupBy("a", "left", "h").agg(F.min("d").alias("d"), F.max("around").alias("around"), F.max("most").alias("most"), F.sum("n").alias("n"))
+        often = scratch.keep(often, "often")
+        most = scratch.keep(often.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > wide).select("a"), "wide")
+        met = said.join(many, "a", "left_anti").unionByName(often.join(most, "a", "left_anti"))
+    ways = met.repartition("a").sortWithinPartitions("a", "d").mapInArrow(_extend(window, seed), "h binary, n long, firsts array<long>")
+    if met is not said:
+        ways = ways.unionByName(_extend_wide(often.join(most, "a"), window, seed))
+    ways = scratch.keep(ways, "ways")
     release(spark)
-    many = scratch.keep(said.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > wide).select("a"), "wide")
-    cool = said if many.isEmpty() else said.join(many, "a", "left_anti")
-    ways = cool.select("a", "d", "left", "h", "around").repartition("a").sortWithinPartitions("a", "d").mapInArrow(_extend(window, seed), "h binary, firsts array<long>")
-    if cool is not said:
-        ways = ways.unionByName(_extend_wide(said.join(many, "a"), window, seed))
-    # Only surroundings that some occurrence shares with a smaller document.
-    ways = scratch.keep(ways.join(said.select("h", "most", "n"), "h").filter(F.array_min("firsts") < F.col("most")).select("h", "n", "firsts"), "ways")
     total = ways.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = spread_join(held.select("d", "k", "p", "h"), ways, "h", total)
+    found = spread_join(held.select("d", "k", "p", "h"), ways, "h", total)
     starts = F.filter(F.transform("firsts", lambda f, o: F.when(f < F.col("d"), F.col("p") - o)), lambda x: x.isNotNull())
     # Windows of one anchor that follow each other are one match.
     runs_of = F.filter(starts, lambda s: ~F.array_contains(starts, s - 1))
     ends = F.filter(starts, lambda s: ~F.array_contains(starts, s + 1))
-    spans = met.select("d", "k", F.arrays_zip(F.array_sort(runs_of).alias("s"), F.array_sort(ends).alias("t")).alias("z")).select("d", "k", F.inline("z").alias("s", "t"))
+    spans = found.select("d", "k", F.arrays_zip(F.array_sort(runs_of).alias("s"), F.array_sort(ends).alias("t")).alias("z")).select("d", "k", F.inline("z").alias("s", "t"))
     spans = spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", (F.col("t") + window).alias("e"))).alias("spans"))
     spans = scratch.keep(spans, "spans")
-    for name in ("occurrences", "surroundings", "wide", "ways"):
+    for name in ("occurrences", "many", "often", "wide", "ways"):
         scratch.drop(name)
     release(spark)
 

@@ -74,17 +74,13 @@ def local(op, docs, rows):
     _, a = op.anchors(hashes, counts, 13, 5)
     all_seeds = pa.array([a.view(np.int64).tolist()] * len(rows), pa.list_(pa.int64()))
     held = next(op._occurrences(13, 5)(iter([pa.RecordBatch.from_arrays([*batch.columns, all_seeds], ["d", "k", "text", "seeds"])]))).to_pylist()
-    said = {}
-    for r in held:
-        s = said.setdefault(r["h"], dict(r))
-        s["around"] = s["around"] or r["around"]
-        s["d"] = min(s["d"], r["d"])
-    order = sorted(said.values(), key=lambda r: (r["a"], r["d"]))
-    columns = [pa.array([r[c] for r in order], t) for c, t in (("a", pa.int64()), ("d", pa.int64()), ("left", pa.int8()), ("h", pa.binary()), ("around", pa.binary()))]
-    ways = {r["h"]: r["firsts"] for b in op._extend(13, 5)(iter([pa.RecordBatch.from_arrays(columns, ["a", "d", "left", "h", "around"])])) for r in b.to_pylist()}
+    order = sorted((r for r in held if r["n"] is not None), key=lambda r: (r["a"], r["d"]))
+    names = [("a", pa.int64()), ("d", pa.int64()), ("left", pa.int8()), ("h", pa.binary()), ("around", pa.binary()), ("most", pa.int64()), ("n", pa.int64())]
+    columns = [pa.array([r[c] for r in order], t) for c, t in names]
+    ways = {r["h"]: r["firsts"] for b in op._extend(13, 5)(iter([pa.RecordBatch.from_arrays(columns, [c for c, _ in names])])) for r in b.to_pylist()}
     spans = [[] for _ in rows]
     for r in held:
-        spans[r["k"]] += [{"s": r["p"] - o, "e": r["p"] - o + 13} for o, f in enumerate(ways[r["h"]]) if f is not None and f < r["d"]]
+        spans[r["k"]] += [{"s": r["p"] - o, "e": r["p"] - o + 13} for o, f in enumerate(ways.get(r["h"], [])) if f is not None and f < r["d"]]
     kind = pa.list_(pa.struct({"s": pa.int64(), "e": pa.int64()}))
     for b in op._strip(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, kind)], ["doc_id", "text", "spans"])])):
         yield from (tuple(r.values()) for r in b.to_pylist())
