@@ -51,6 +51,7 @@ ORDINARY, TOXIC, TRAINED = 120_000, (112_000, 12_000), 2 << 20
 #: Length of segments (all windows, stretches) and of byte sequences in the choice of a dictionary's content.
 SEGMENTS, GRAM, LEVEL = (32, 16), 6, 12
 DISTANCES = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0)
+_BITS = 22
 #: Bytes of a text split into words at once.
 STRETCH = 1 << 20
 
@@ -97,6 +98,15 @@ def compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=trained, compression_params=params).compress
 
 
+def _places(text: np.ndarray) -> np.ndarray:
+    """A place in the table of bits for each sequence of GRAM bytes."""
+    n = max(0, len(text) - GRAM + 1)
+    x = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        x = x << np.uint64(8) | text[k : k + n]
+    return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
 class Model:
     """Pairs of dictionaries (ordinary, toxic) and the curve's weights; half a megabyte that travels with the tasks."""
 
@@ -110,16 +120,33 @@ class Model:
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
+    def _prepare(self) -> None:
+        self._ready = [(compressor(a), compressor(a + b)) for a, b in self.pairs]
+        # Sequences that only the first pair's toxic dictionary has, and a table of bits to look for them.
+        plain, toxic = ({x[i : i + GRAM] for i in range(len(x) - GRAM + 1)} for x in self.pairs[0])
+        self._only = toxic - plain
+        self._bits = np.zeros(1 << _BITS, bool)
+        for g in self._only:
+            self._bits[_places(np.frombuffer(g, np.uint8))] = True
+
     def distance(self, text: bytes, pair: int = 0) -> int:
         """Bytes that the toxic dictionary of a pair saves on one window."""
         if not self._ready:
-            self._ready = [(compressor(a), compressor(a + b)) for a, b in self.pairs]
+            self._prepare()
         plain, both = self._ready[pair]
         return len(plain(text)) - len(both(text))
 
+    def _screen(self, text: bytes) -> np.ndarray:
+        """Places of sequences that only the first toxic dictionary has."""
+        maybe = np.flatnonzero(self._bits[_places(np.frombuffer(text, np.uint8))])
+        return np.array([i for i in maybe.tolist() if text[i : i + GRAM] in self._only], np.int64)
+
     def evidence(self, text: bytes) -> tuple[list[tuple[float, bytes]], int]:
         """For each window side by side that passes with the first pair: the greatest least distance of one of its words, if
-        it counts, and that word with its neighbours; and the number of windows. Texts are read in stretches that overlap."""
+        it counts, and that word with its neighbours; and the number of windows. A window without a sequence that only the
+        toxic dictionary has is not compressed. Texts are read in stretches that overlap."""
+        if not self._ready:
+            self._prepare()
         text = text.lower()
         out: list[tuple[float, bytes]] = []
         ws: list[bytes] = []
@@ -131,6 +158,16 @@ class Model:
             whole = end < 0
             ws += text[begin:].split() if whole else text[begin:end].split()
             last = max(0, len(ws) - SPAN)
+            # In a stretch that goes on, only windows with all their neighbours are judged yet; the last one reaches to the end.
+            starts = list(range(at, (last if whole else last - SPAN) + 1, SPAN)) if ws else []
+            if whole and starts and starts[-1] < last:
+                starts.append(last)
+            n += len(starts)
+            plain = b" " + b" ".join(ws) + b" "
+            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)])
+            begins, stops = bounds[starts], bounds[np.minimum(np.array(starts, np.int64) + SPAN, len(ws))] + 1
+            hits = self._screen(plain)
+            near = np.searchsorted(hits, begins) < np.searchsorted(hits, stops - GRAM + 1)
             memo: dict[int, float] = {}
 
             def mean(j: int) -> float:
@@ -139,24 +176,21 @@ class Model:
                     memo[j] = sum(self.distance(w, k) for k in range(len(self.pairs))) / len(self.pairs)
                 return memo[j]
 
-            def least(p: int) -> float:
+            def least(p: int, found: float) -> float:
                 """The least distance of the windows that hold word p, or 0 if one is too small to count."""
-                found = mean(at)
                 for j in range(max(0, p - SPAN + 1), min(p, last) + 1):
                     if (d := mean(j)) < DISTANCES[0]:
                         return 0.0
                     found = min(found, d)
                 return found
 
-            # In a stretch that goes on, only windows with all their neighbours are judged yet.
-            while ws and at <= (last if whole else last - SPAN):
-                n += 1
-                if self.distance(window(ws, at)) >= FIRST and mean(at) >= DISTANCES[0]:
-                    best, place = max(((least(p), p) for p in range(at, min(at + SPAN, len(ws)))), key=lambda x: x[0])
+            for i in np.flatnonzero(near).tolist():
+                if self.distance(plain[begins[i] : stops[i]]) >= FIRST and mean(starts[i]) >= DISTANCES[0]:
+                    words_of = range(starts[i], min(starts[i] + SPAN, len(ws)))
+                    best, place = max(((least(p, mean(starts[i])), p) for p in words_of), key=lambda x: x[0])
                     if best:
                         out.append((best, window(ws, max(0, place - 1), 3)))
-                # The last window reaches to the end.
-                at = last if at < last < at + SPAN else at + SPAN
+            at = starts[-1] + SPAN if starts else at
             drop = max(0, at - SPAN + 1)
             ws, at = ws[drop:], at - drop
         return out, n
