@@ -136,16 +136,48 @@ def expected(word: str, count: int, lattice: Lattice, p: list[float], total: lis
                 total[k] += ahead[i] * x
 
 
-def fit(counts: dict[str, int], lattice: Lattice, size: int, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
-    """Probabilities of the pieces, and last of an unknown character, fitted to the word counts of one language."""
-    p = [1.0 / (size + 1)] * (size + 1)
-    for _ in range(rounds):
-        total = [prior] * (size + 1)
-        for w, c in counts.items():
-            expected(_START + w, c, lattice, p, total)
-        whole = sum(total)
-        p = [x / whole for x in total]
-    return np.array(p)
+def short_spans(words: list[str], lattice: Lattice, unknown: int, none: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """For `words` of one length: (start, end) of all their parts that may be pieces, and the piece of each part and word;
+    a single character outside the vocabulary is `unknown`, any other such part `none`."""
+    n = len(words[0])
+    spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - lattice.longest), j)]
+    parts = itemgetter(*(slice(i, j) for i, j in spans), slice(0, 0))  # two at least: always a tuple
+    found = map(lattice.number.get, chain.from_iterable(map(parts, words)), repeat(none))
+    ids = np.fromiter(found, np.int64, len(words) * (len(spans) + 1)).reshape(len(words), -1).T[:-1].copy()
+    single = np.array([j - i == 1 for i, j in spans])
+    ids[single] = np.where(ids[single] == none, unknown, ids[single])
+    return spans, ids
+
+
+def expect_all(counts: list[tuple[str, int]], lattice: Lattice, p: list[float]) -> np.ndarray:
+    """How often each piece is expected in all words, said so many times each: short words of one length together."""
+    size = len(p)
+    total, row = [0.0] * size, np.array([*p, 0.0])
+    sums = np.zeros(size + 1)
+    of_length: dict[int, list[tuple[str, int]]] = {}
+    for w, c in counts:
+        of_length.setdefault(len(w) if len(w) <= SHORT else 0, []).append((_START + w, c))
+    for length, group in of_length.items():
+        for some in (group[i : i + 4096] for i in range(0, len(group), 4096)):
+            if not length:
+                for w, c in some:
+                    expected(w, c, lattice, p, total)
+                continue
+            spans, ids = short_spans([w for w, _ in some], lattice, size - 1, size)
+            ahead, back = np.zeros((length + 2, len(some))), np.zeros((length + 2, len(some)))
+            ahead[0] = 1
+            for e, (i, j) in enumerate(spans):
+                ahead[j] += ahead[i] * row[ids[e]]
+            fine = ahead[-1] > _SMALL
+            back[-1, fine] = np.array([c for _, c in some], float)[fine] / ahead[-1, fine]
+            for e in range(len(spans) - 1, -1, -1):
+                i, j = spans[e]
+                x = row[ids[e]] * back[j]
+                back[i] += x
+                sums += np.bincount(ids[e], ahead[i] * x, size + 1)
+            for k in np.flatnonzero(~fine).tolist():
+                expected(*some[k], lattice, p, total)
+    return sums[:size] + np.array(total)
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -191,18 +223,12 @@ class Model:
             of_length.setdefault(len(w) if len(w) <= SHORT else 0, []).append(k)
         unknown, none = len(self.pieces), len(self.pieces) + 1
         table = np.vstack([self.probabilities.T, np.zeros(len(self.languages))])
-        get = lattice.number.get
         for length, group in of_length.items():
             for some in (group[i : i + 4096] for i in range(0, len(group), 4096)):
                 if not length:
                     out[some] = [lattice.forward(_START + new[k], columns) for k in some]
                     continue
-                spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - lattice.longest), j)]
-                parts = itemgetter(*(slice(i, j) for i, j in spans), slice(0, 0))  # two at least: always a tuple
-                found = map(get, chain.from_iterable(parts(_START + new[k]) for k in some), repeat(none))
-                ids = np.fromiter(found, np.int64, len(some) * (len(spans) + 1)).reshape(len(some), -1).T.copy()
-                single = np.array([j - i == 1 for i, j in spans] + [False])
-                ids[single] = np.where(ids[single] == none, unknown, ids[single])
+                spans, ids = short_spans([_START + new[k] for k in some], lattice, unknown, none)
                 ahead = np.zeros((length + 2, len(some), len(self.languages)))
                 ahead[0] = 1
                 for e, (i, j) in enumerate(spans):
@@ -298,12 +324,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None
             pieces, table = sent.value
             lattice = Lattice(pieces)
             p = {x: v.tolist() for x, v in table.items()}
-            total: dict[str, list[float]] = {}
+            said: dict[str, list[tuple[str, int]]] = {}
             for batch in batches:
                 for lang, word, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    expected(_START + word, c, lattice, p[lang], total.setdefault(lang, [0.0] * (size + 1)))
-            for lang, t in total.items():
-                t = np.array(t)
+                    said.setdefault(lang, []).append((word, c))
+            for lang, ws in said.items():
+                t = expect_all(ws, lattice, p[lang])
                 used = np.flatnonzero(t)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(t[used])], ["lang", "piece", "x"])
 

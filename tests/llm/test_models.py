@@ -195,7 +195,8 @@ def test_window_distances_and_evidence_equal_brute_force():
         starts = sorted({*range(0, len(all_windows), span), len(all_windows) - 1} if ws else set())
         want = []
         for i in starts:
-            if far[i][0] >= toxicity.FIRST:
+            grams = {all_windows[i][j : j + toxicity.GRAM] for j in range(len(all_windows[i]) - toxicity.GRAM + 1)}
+            if far[i][0] >= toxicity.FIRST and any(g in model.pairs[0][1] and g not in model.pairs[0][0] for g in grams):
                 words = range(i, min(i + span, len(ws)))
                 want.append(max(min(sum(d) / len(d) for j, d in enumerate(far) if j <= p < j + span) for p in words))
         found, n = model.evidence(text)
