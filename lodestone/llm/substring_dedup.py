@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, Scratch, chunk_words, release, runs, small_batches, spread_join, table, texts
 
 WINDOW, SEED = 13, 5
-#: Rows of surroundings of one anchor that are met in one task; an anchor with more is summed up first, and dealt out if need be.
-WIDE = 20_000
+#: Rows of surroundings of one anchor that move as they are, and different ones that are met in one task; an anchor with more
+#: is summed up first, and one that still has more is dealt out.
+OFTEN, WIDE = 256, 20_000
 
 
 def _slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -209,26 +210,33 @@ def _extend_wide(rows: DataFrame, window: int, seed: int) -> DataFrame:
     return found.join(rows.select("h", "most", "n"), "h").filter(F.array_min("firsts") < F.col("most")).select("h", "n", "firsts")
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The result from rows (doc_id, text, spans of words)."""
-    for batch in _slices(batches):
+def _strip(window: int):
+    """The result from rows (doc_id, text, spans): places p of anchors, with a bit o for each window to remove that has o words
+    before the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(strip, _slices(batches))
+
+    def strip(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
+        for text, spans in zip(texts(batch.column(1)), batch.column(2)):
             words = text.split()
             removed = 0
             n_words.append(len(words))
-            if spans:
+            if spans.is_valid:
                 # Matches merge into maximal repeats.
                 edge = np.zeros(len(words) + 1, np.int64)
-                places = np.array([(s["s"], s["e"]) for s in spans], np.int64)
-                np.add.at(edge, places[:, 0], 1)
-                np.add.at(edge, places[:, 1], -1)
+                place, bits = (spans.values.field(c).to_numpy().astype(np.int64) for c in ("p", "bits"))
+                for o in range(int(bits.max()).bit_length()):
+                    begin = place[bits >> o & 1 == 1] - o
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + window, -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 removed = int(covered.sum())
                 words = compress(words, (~covered).tolist())
             n_removed.append(removed)
             kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(n_words, pa.int64()),
@@ -239,8 +247,10 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
         )
 
+    return run
+
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wide: int = WIDE) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wide: int = WIDE, often: int = OFTEN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left) of each row of `docs`."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -262,34 +272,32 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wid
     scratch.drop("seeds")
     release(spark)
     said = held.filter("n is not null").select("a", "d", "left", "h", "around", "most", "n")
-    many = scratch.keep(said.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > wide).select("a"), "many")
+    many = scratch.keep(said.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > often).select("a"), "many")
     met = said
     if not many.isEmpty():
         # What is said in many batches is summed up before it moves; anchors that still have too much are dealt out.
-        often = said.join(many, "a").groupBy("a", "left", "h").agg(F.min("d").alias("d"), F.max("around").alias("around"), F.max("most").alias("most"), F.sum("n").alias("n"))
-        often = scratch.keep(often, "often")
-        most = scratch.keep(often.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > wide).select("a"), "wide")
-        met = said.join(many, "a", "left_anti").unionByName(often.join(most, "a", "left_anti"))
+        summed = said.join(many, "a").groupBy("a", "left", "h").agg(F.min("d").alias("d"), F.max("around").alias("around"), F.max("most").alias("most"), F.sum("n").alias("n"))
+        summed = scratch.keep(summed, "summed")
+        most = scratch.keep(summed.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > wide).select("a"), "wide")
+        met = said.join(many, "a", "left_anti").unionByName(summed.join(most, "a", "left_anti"))
     ways = met.repartition("a").sortWithinPartitions("a", "d").mapInArrow(_extend(window, seed), "h binary, n long, firsts array<long>")
     if met is not said:
-        ways = ways.unionByName(_extend_wide(often.join(most, "a"), window, seed))
+        ways = ways.unionByName(_extend_wide(summed.join(most, "a"), window, seed))
     ways = scratch.keep(ways, "ways")
     release(spark)
     total = ways.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = spread_join(held.select("d", "k", "p", "h"), ways, "h", total)
-    starts = F.filter(F.transform("firsts", lambda f, o: F.when(f < F.col("d"), F.col("p") - o)), lambda x: x.isNotNull())
-    # Windows of one anchor that follow each other are one match.
-    runs_of = F.filter(starts, lambda s: ~F.array_contains(starts, s - 1))
-    ends = F.filter(starts, lambda s: ~F.array_contains(starts, s + 1))
-    spans = found.select("d", "k", F.arrays_zip(F.array_sort(runs_of).alias("s"), F.array_sort(ends).alias("t")).alias("z")).select("d", "k", F.inline("z").alias("s", "t"))
-    spans = spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", (F.col("t") + window).alias("e"))).alias("spans"))
+    # A bit for each window around the anchor that stands in a smaller document.
+    bits = sum((F.when(F.get("firsts", F.lit(o)) < F.col("d"), 1 << o).otherwise(0) for o in range(window - seed + 1)), F.lit(0))
+    hits = found.select("d", "k", "p", bits.alias("bits")).filter("bits <> 0")
+    spans = hits.groupBy("d", "k").agg(F.collect_list(F.struct("p", "bits")).alias("spans"))
     spans = scratch.keep(spans, "spans")
-    for name in ("occurrences", "many", "often", "wide", "ways"):
+    for name in ("occurrences", "many", "summed", "wide", "ways"):
         scratch.drop(name)
     release(spark)
 
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return rows.join(spans, ["d", "k"], "left").select("doc_id", "text", "spans").mapInArrow(_strip, kinds)
+    return rows.join(spans, ["d", "k"], "left").select("doc_id", "text", "spans").mapInArrow(_strip(window), kinds)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

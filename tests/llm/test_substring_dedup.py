@@ -32,8 +32,8 @@ def test_equals_brute_force(spark):
     texts += [f"x{i} {passage} y{i}" for i in range(20)] + [texts[5]] * 3 + [" ".join(texts)] * 2
     rows = [(rng.randrange(1000), t) for t in texts] + [(None, passage), (None, passage), (4, None), (6, ""), (4, passage), (4, passage)]
     docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, a int, kept int")
-    for window, seed, wide in ((13, 5, 20_000), (6, 2, 3)):
-        got = sorted((tuple(r) for r in op.substring_dedup(docs, window, seed, wide).collect()), key=repr)
+    for window, seed, wide, often in ((13, 5, 20_000, 256), (13, 5, 20_000, 1), (6, 2, 3, 2)):
+        got = sorted((tuple(r) for r in op.substring_dedup(docs, window, seed, wide, often).collect()), key=repr)
         assert got == brute(rows, window)
 
 
@@ -80,9 +80,10 @@ def local(op, docs, rows):
     ways = {r["h"]: r["firsts"] for b in op._extend(13, 5)(iter([pa.RecordBatch.from_arrays(columns, [c for c, _ in names])])) for r in b.to_pylist()}
     spans = [[] for _ in rows]
     for r in held:
-        spans[r["k"]] += [{"s": r["p"] - o, "e": r["p"] - o + 13} for o, f in enumerate(ways.get(r["h"], [])) if f is not None and f < r["d"]]
-    kind = pa.list_(pa.struct({"s": pa.int64(), "e": pa.int64()}))
-    for b in op._strip(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, kind)], ["doc_id", "text", "spans"])])):
+        spans[r["k"]].append({"p": r["p"], "bits": sum(1 << o for o, f in enumerate(ways.get(r["h"], [])) if f is not None and f < r["d"])})
+    kind = pa.list_(pa.struct({"p": pa.int32(), "bits": pa.int32()}))
+    columns = [batch.column(0), batch.column(2), pa.array([[x for x in s if x["bits"]] or None for s in spans], kind)]
+    for b in op._strip(13)(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "spans"])])):
         yield from (tuple(r.values()) for r in b.to_pylist())
 
 
