@@ -119,7 +119,6 @@ SMELLS = """smells AS (SELECT doc_id, source service, CASE WHEN toxic = 1 THEN '
  CASE doc_id % 3 WHEN 0 THEN 'God Class' WHEN 1 THEN 'Feature Envy' ELSE 'Long Method' END smell_type FROM labels JOIN documents USING (doc_id))"""
 FINDINGS = """f AS (SELECT dense_rank() OVER (ORDER BY CAST(ts AS DATE)) run, event_id, CASE WHEN event_type = 'click' THEN 'NANO_SERVICE' ELSE upper(event_type) END kind,
  CASE user_id % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END severity, CAST(user_id % 20 AS VARCHAR) primary_service FROM events)"""
-PAIR = "row_number() OVER (PARTITION BY run, k ORDER BY event_id) rn"
 
 
 # -- detectors ------------------------------------------------------------------
@@ -165,14 +164,6 @@ def p13(spark, d):
     return scan.hardcoded_urls(Tables(spark, d).lines).select("service", "line_no", "url")
 
 
-@query("k6_hardcoded", f"WITH {LINES}, {_LITERALS} SELECT service, count(*) AS n FROM u WHERE url <> '' GROUP BY 1")
-def k6(spark, d):
-    v = Tables(spark, d)
-    lines = v.lines.withColumns({"project_id": F.lit(1).cast("long"), "analysis_number": F.lit(1)})
-    found = detectors.hardcoded(detectors.Model(v.services, v.deps, lines=lines))
-    return found.select(F.col("primary_service").alias("service"), F.size(F.split(F.col("details")["urls"], ",")).cast("long").alias("n"))
-
-
 _METRICS = f"""WITH {DEPS}, m AS (SELECT (SELECT count(*) FROM nation) n_services, (SELECT count(*) FROM deps) total_dependencies, (SELECT count(*) FROM (SELECT DISTINCT s, t FROM deps)) n_edges,
  (SELECT count(*) FROM (SELECT s FROM deps UNION SELECT t FROM deps)) connected)"""
 
@@ -217,13 +208,6 @@ def g3(spark, d):
     return graph.betweenness(v.services, v.deps).select("id", F.round("bc", 6).alias("bc"), F.round("bc_norm", 8).alias("bc_norm"))
 
 
-@query("k10_esb", f"""{_BC} SELECT 'ESB_MISUSE' pattern_type, 'HIGH' severity, name service FROM bc JOIN deg USING (id)
-WHERE n_rows > 0 AND ((in_degree / 24.0 >= 0.05 AND out_degree / 24.0 >= 0.05) OR (in_degree + out_degree) / CAST(n_rows AS DOUBLE) >= 0.05 OR bc_norm >= 0.05)""")
-def k10(spark, d):
-    v = Tables(spark, d)
-    return _short(detectors.esb(detectors.Model(v.services, v.deps), {"esb_mediator": 0.05})).drop("affected")
-
-
 @query("g2_components", f"""WITH RECURSIVE {DEPS}, r(s, t) AS (SELECT s, t FROM deps UNION SELECT r.s, deps.t FROM r JOIN deps ON r.t = deps.s),
 c AS (SELECT a.s id, min(a.t) component FROM r a JOIN r b ON a.s = b.t AND a.t = b.s GROUP BY 1)
 SELECT CAST(component AS BIGINT) component, CAST(id AS BIGINT) id FROM c WHERE component IN (SELECT component FROM c GROUP BY 1 HAVING count(*) > 1)""")
@@ -286,42 +270,12 @@ def h5(spark, d):
     return score.score(runs, found).select("project_id", "anti_patterns", "code_quality", "architecture", "service_sizing", "health_score", "grade")
 
 
-_KEYED = f"""WITH {FINDINGS}, k AS (SELECT run, concat(kind, '|', primary_service) k, event_id FROM f), c AS (SELECT run, k, count(*) n FROM k GROUP BY 1, 2),
-l AS (SELECT run, lag(run) OVER (ORDER BY run) prev FROM (SELECT DISTINCT run FROM k)),
-d AS (SELECT run, k, sum(n) n, sum(m) m FROM (SELECT c.run, k, n, 0 m FROM c JOIN l USING (run) WHERE prev IS NOT NULL UNION ALL SELECT l.run, k, 0, n FROM l JOIN c ON c.run = l.prev) GROUP BY 1, 2)"""
-
-
-def _keyed(spark, d):
-    f = Tables(spark, d).findings.withColumn("key", F.concat_ws("|", "pattern_type", "primary_service"))
-    return f, diff.previous(f.select(*RUN).distinct())
-
-
-@query("j15_multiset_diff", f"{_KEYED} SELECT CAST(run AS INTEGER) analysis_number, k AS key, CAST(least(n, m) AS BIGINT) n_unchanged, CAST(greatest(n - m, 0) AS BIGINT) n_new, CAST(greatest(m - n, 0) AS BIGINT) n_resolved FROM d")
-def j15(spark, d):
-    return diff.multiset(*_keyed(spark, d)).drop("project_id")
-
-
-@query("u4_matched_findings", f"""{_KEYED}, x AS (SELECT run, k, event_id, {PAIR} FROM k), now AS (SELECT x.* FROM x JOIN l USING (run) WHERE prev IS NOT NULL), old AS (SELECT l.run, k, event_id, rn FROM l JOIN x ON x.run = l.prev)
-SELECT CAST(coalesce(a.run, b.run) AS INTEGER) analysis_number, CASE WHEN a.event_id IS NULL THEN 'resolved' WHEN b.event_id IS NULL THEN 'new' ELSE 'unchanged' END state, a.event_id AS current, b.event_id AS former
-FROM now a FULL JOIN old b ON a.run = b.run AND a.k = b.k AND a.rn = b.rn""")
-def u4(spark, d):
-    return diff.matched(*_keyed(spark, d)).select("analysis_number", "state", "current", "former")
-
-
 @query("h11_history", f"""WITH {FINDINGS}, r AS (SELECT run, count(*) total FROM f GROUP BY 1) SELECT CAST(run AS INTEGER) analysis_number, total total_anti_patterns, total - lag(total) OVER (ORDER BY run) total_anti_patterns_delta,
  CAST(lag(run) OVER (ORDER BY run) AS INTEGER) previous_run, CAST(row_number() OVER (ORDER BY run DESC) AS INTEGER) AS position FROM r""")
 def h11(spark, d):
     return diff.history(score.severity_counts(Tables(spark, d).findings).select(*RUN, "total_anti_patterns")).drop("project_id")
 
 
-@query("h10_summary", f"""WITH {FINDINGS}, r AS (SELECT run, count(*) - lag(count(*)) OVER (ORDER BY run) x FROM f GROUP BY 1) SELECT CAST(run AS INTEGER) analysis_number,
- concat(CASE WHEN x > 0 THEN concat('Score improved by ', x) WHEN x < 0 THEN concat('Score declined by ', -x) ELSE 'Score unchanged' END, CASE WHEN run % 3 > 0 THEN concat('; ', run % 3, ' resolved') ELSE '' END, CASE WHEN run % 2 > 0 THEN concat('; ', run % 2, ' new') ELSE '' END) summary FROM r""")
-def h10(spark, d):
-    h = diff.history(score.severity_counts(Tables(spark, d).findings).select(*RUN, "total_anti_patterns"))
-    n = F.col("analysis_number")
-    return h.select("analysis_number", diff.summary(F.col("total_anti_patterns_delta"), n % 3, n % 2).alias("summary"))
-
-
 @query("w1_analysis_numbers", "SELECT o_orderkey id, o_custkey project_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) analysis_number FROM orders")
 def w1(spark, d):
     return model.number_runs(Tables(spark, d).jobs).select("id", "project_id", "analysis_number")
@@ -332,20 +286,9 @@ def w2(spark, d):
     return model.latest(Tables(spark, d).jobs)
 
 
-@query("j14_previous_result", "SELECT o_orderkey id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) previous_id FROM orders")
-def j14(spark, d):
-    w = Window.partitionBy("project_id").orderBy("created_at", "id")
-    return Tables(spark, d).jobs.select("id", F.lag("id").over(w).alias("previous_id"))
-
-
 # -- line scans and scalar functions ------------------------------------------------
 
 
-@query("s18_lines_of_code", "SELECT source service, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) lines_of_code FROM documents GROUP BY 1")
-def s18(spark, d):
-    return Tables(spark, d).read("documents").groupBy(F.col("source").alias("service")).agg(F.sum(F.size(F.split("text", "\n", -1))).alias("lines_of_code"))
-
-
 @query("p8_code_lines", f"WITH {LINES} SELECT service, count(*) n FROM src WHERE NOT regexp_matches(text, '^(//|\\*|/\\*|import |package )') GROUP BY 1")
 def p8(spark, d):
     return scan.code_lines(Tables(spark, d).lines).groupBy("service").agg(F.count("*").alias("n"))
