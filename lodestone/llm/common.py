@@ -60,11 +60,13 @@ HOT, LEAST_HOT, BROADCAST_ROWS = 10_000, 64, 200_000
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """`rows` joined with `keyed`, which has one row for each key and their number `n` in `rows`, of `total` rows.
     Hot keys, fewer than HOT whatever the input, are broadcast, so that their rows stay where they are; no other key
-    has more than 1 / HOT of the rows (or LEAST_HOT of them), and these are joined by a shuffle."""
-    hot = F.broadcast(keyed.filter(F.col("n") > max(LEAST_HOT, total // HOT)).drop("n"))
-    cold = keyed.filter(F.col("n") <= max(LEAST_HOT, total // HOT)).drop("n")
-    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, how)
-    return rows.join(hot, key).unionByName(rest)
+    has more than 1 / HOT of the rows (or LEAST_HOT of them), and these are joined by a shuffle. `keyed` is best stored."""
+    bound = max(LEAST_HOT, total // HOT)
+    hot = keyed.filter(F.col("n") > bound).drop("n")
+    if hot.isEmpty():
+        return rows.join(keyed.drop("n"), key, how)
+    hot, cold = F.broadcast(hot), keyed.filter(F.col("n") <= bound).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
 
 
 def light(df: DataFrame, rows: int | None = None) -> DataFrame:
