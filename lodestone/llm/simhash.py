@@ -34,6 +34,8 @@ from .common import NULL_ID, durable, light, release, small_batches, spread_join
 WORDS, SEED, BITS = 3, 42, 2
 #: Fingerprints in one trie at most; a key with more is dealt out anew.
 TRIE = 2048
+#: Edges of a graph whose hot nodes need no care: 16 bytes each, they fit in one task.
+FEW_EDGES = 1_000_000
 #: Shingles hashed at once.
 CHUNK = 255 * 128
 
@@ -233,14 +235,16 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
+        # Only in a large graph can a node have so many neighbours that its join would keep a task long.
+        large_graph = state[0] > FEW_EDGES
+        stored = durable if large_graph else (lambda df: df)
+        join = (lambda x, y: spread_join(x, y, "u", 2 * state[0])) if large_graph else (lambda x, y: x.join(y.drop("n"), "u"))
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        large = spread_join(both, durable(least), "u", 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = durable(large)
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        large = durable(join(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         # Small star: every node with its smaller neighbours joins the least of them.
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        joined = spread_join(large, least, "u", 2 * state[0])
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = durable(small.filter("u <> v").distinct())
         release(spark)
 

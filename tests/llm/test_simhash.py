@@ -87,6 +87,16 @@ def test_a_key_that_is_dealt_at_every_level_keeps_its_links(spark):
         assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(simhash, "FEW_EDGES", 0)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    edges = spark.createDataFrame([(5, i) for i in range(6, 60)] + [(60, 61), (61, 62), (70, 70)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: 5 for i in range(6, 60)} | {61: 60, 62: 60}
+
+
 def test_hot_keys_join_as_others(spark, monkeypatch):
     from lodestone.llm import common
 
