@@ -24,6 +24,12 @@ class Analysis:
     result: DataFrame
 
 
+def database_code(props: DataFrame) -> DataFrame:
+    """(service, file, line, code) of the properties that name a database; properties have no line."""
+    held = props.filter(F.col("key").rlike(r"(?i)(datasource|mongodb|r2dbc).*(url|uri)$"))
+    return held.select("service", F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), F.concat_ws("=", "key", "value").alias("code"))
+
+
 def submodules(spark: SparkSession, root: str) -> DataFrame:
     """(dir) of build files that declare submodules."""
     held = files.contents(spark, root, "pom.xml").filter(F.contains("text", F.lit("<module>")) | F.contains("text", F.lit("<modules>")))
@@ -75,7 +81,7 @@ def analyze(spark: SparkSession, root: str, project: str = "project", project_id
     deps = keep(resolved.select(*RUN, order.alias("id"), F.col("source_id").alias("source_service_id"), F.col("target_id").alias("target_service_id"), "dependency_type", "call_count", F.col("file").alias("evidence_file"), F.col("line").alias("evidence_line"), t.truncate(F.col("code"), 1000).alias("evidence_code"), F.col("target").alias("target_url")))
 
     named = keep(run(ends.join(found.select("service", F.col("id").alias("microservice_id")), "service")))
-    m = detectors.Model(services, deps, named, run(lines.filter(F.col("file").startswith("src/main/java/"))), run(java.class_metrics(types)), run(java.client_types(types)))
+    m = detectors.Model(services, deps, named, run(lines.filter(F.col("file").startswith("src/main/java/"))), run(java.class_metrics(types)), run(java.client_types(types)), run(database_code(props)))
     findings = keep(detectors.detect(m, config, enabled))
 
     metrics = graph.run_metrics(services, deps)
@@ -89,6 +95,11 @@ def analyze(spark: SparkSession, root: str, project: str = "project", project_id
     return Analysis(services, named, deps, findings, result.withColumnsRenamed(names))
 
 
+def changed_findings(findings: DataFrame, results: DataFrame) -> DataFrame:
+    """The findings of each run that has one before it, as new, unchanged or resolved."""
+    return diff.changes(findings.withColumn("key", diff.issue_key()), diff.previous(results.select(*RUN)))
+
+
 def compare(findings: DataFrame, results: DataFrame) -> DataFrame:
     """History of `results`, newest first, with counts of unchanged, new and resolved findings and a sentence."""
     keyed = findings.withColumn("key", diff.issue_key())

@@ -9,12 +9,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lines import hardcoded_urls
-from ..functions.text import is_gateway
+from ..functions.lines import hardcoded_urls, main_class
+from ..functions.lines import snippets as around
+from ..functions.text import is_gateway, truncate
 from ..schema import RUN, option
+from ..sources.stages import keep
 from . import graph
 
-FINDINGS = "project_id long, analysis_number int, pattern_type string, severity string, primary_service string, affected array<string>, details map<string,string>, cycle_length int, call_count int, shared_database_url string, description string"
+FINDINGS = "project_id long, analysis_number int, pattern_type string, severity string, primary_service string, affected array<string>, details map<string,string>, cycle_length int, call_count int, shared_database_url string, description string, snippets array<struct<file:string,start_line:int,end_line:int,code:string>>"
+#: Pieces of code that a finding carries at most, and characters of one.
+MAX_SNIPPETS, MAX_CODE = 5, 500
+#: A detector that failed leaves a finding of this type, so that the others' findings are not lost.
+FAILED = "DETECTOR_FAILED"
 
 
 @dataclass
@@ -27,6 +33,8 @@ class Model:
     lines: DataFrame | None = None
     classes: DataFrame | None = None
     clients: DataFrame | None = None
+    #: (run, service, file, line, code): where services name their databases.
+    config: DataFrame | None = None
 
 
 def finding(df: DataFrame, kind: str, severity: str, primary: Column, affected: Column, details: dict[str, Column], text: Column, **more: Column) -> DataFrame:
@@ -37,9 +45,58 @@ def finding(df: DataFrame, kind: str, severity: str, primary: Column, affected:
         (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("details"),
         more.get("cycle_length", null("int")).cast("int").alias("cycle_length"), more.get("call_count", null("int")).cast("int").alias("call_count"),
         more.get("shared_database_url", null("string")).alias("shared_database_url"), text.alias("description"),
+        F.lit(None).cast("array<struct<file:string,start_line:int,end_line:int,code:string>>").alias("snippets"),
     )
 
 
+def edge_code(m: Model) -> DataFrame:
+    """(run, service, file, line, code): the calls of each service to others, the last of each pair of services."""
+    cols = [c for c in ("evidence_line",) if c in m.deps.columns]
+    line = F.col("evidence_line") if cols else F.lit(None)
+    last = m.deps.groupBy(*RUN, F.col("source_service_id").alias("id"), "target_service_id").agg(F.max_by(F.struct(F.col("evidence_file").alias("file"), line.cast("int").alias("line"), F.col("evidence_code").alias("code")), "id").alias("e"))
+    return _named(last, m.services, service="id").select(*RUN, "service", "e.file", "e.line", "e.code").filter("code is not null")
+
+
+def main_code(m: Model) -> DataFrame:
+    """(run, service, file, line, code): the head of the main class, or of the first file, of each service."""
+    each = m.lines.withColumn("service", F.struct(*RUN, F.col("service").alias("name")))
+    head = main_class(each).join(each, ["service", "file"]).filter(F.col("line_no") <= 10)
+    found = head.groupBy("service", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("code"))
+    return found.select("service.project_id", "service.analysis_number", F.col("service.name").alias("service"), "file", F.lit(1).alias("line"), "code")
+
+
+def line_code(m: Model, pattern: str) -> DataFrame:
+    """(run, service, file, line, code): lines that match, with three lines before and after each."""
+    each = m.lines.withColumn("service", F.struct(*RUN, F.col("service").alias("name")))
+    found = around(each.filter(F.col("text").rlike(pattern)), each)
+    return found.select("service.project_id", "service.analysis_number", F.col("service.name").alias("service"), "file", F.col("start_line").alias("line"), F.col("snippet").alias("code"))
+
+
+#: Where the code of a finding comes from: calls, heads of main classes, or lines of a kind.
+EVIDENCE: dict[str, Callable[[Model], DataFrame | None]] = {
+    **dict.fromkeys(["CYCLIC_DEPENDENCY", "CHATTY_SERVICE", "WRONG_CUTS", "ESB_MISUSE"], edge_code),
+    **dict.fromkeys(["NANO_SERVICE", "GOD_SERVICE"], lambda m: None if m.lines is None else main_code(m)),
+    "HARDCODED_ENDPOINTS": lambda m: None if m.lines is None else line_code(m, "https?://|localhost:|\\d{1,3}(\\.\\d{1,3}){3}:"),
+    "API_VERSIONING_ABSENCE": lambda m: None if m.lines is None else line_code(m, "@(Rest)?Controller"),
+    "SHARED_DATABASE": lambda m: None if m.config is None else m.config,
+}
+
+
+def with_snippets(found: DataFrame, code: DataFrame | None, cap: int = MAX_SNIPPETS, chars: int = MAX_CODE) -> DataFrame:
+    """`found` with the first `cap` pieces of `code` (run, service, file, line, code) of its affected services, cut to `chars`."""
+    if code is None or "evidence_code" in code.columns:
+        return found
+    # Each service brings `cap` pieces at most, and so a finding holds no more than that for each service it names.
+    piece = F.struct(F.col("service").alias("by"), "file", "line", truncate(F.col("code"), chars).alias("code"))
+    few = code.groupBy(*RUN, "service").agg(F.slice(F.array_sort(F.collect_set(piece)), 1, cap).alias("few"))
+    each = found.drop("snippets").withColumn("_f", F.xxhash64("pattern_type", "primary_service", "affected", "description"))
+    named = each.select(*RUN, "_f", F.explode("affected").alias("service")).join(few, [*RUN, "service"])
+    taken = named.groupBy(*RUN, "_f").agg(F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("few")))), 1, cap).alias("few"))
+    lines = lambda x: F.size(F.split(x["code"], "\n"))
+    shape = F.transform("few", lambda x: F.struct(x["file"].alias("file"), x["line"].alias("start_line"), (x["line"] + lines(x) - 1).alias("end_line"), x["code"].alias("code")))
+    return each.join(taken, [*RUN, "_f"], "left").withColumn("snippets", shape).drop("_f", "few").select(*found.columns)
+
+
 def _named(df: DataFrame, services: DataFrame, **ids: str) -> DataFrame:
     """`df` with the names of the services whose ids are in the given columns."""
     for new, col in ids.items():
@@ -158,8 +215,19 @@ _NEEDS = {"GOD_SERVICE": "classes", "HARDCODED_ENDPOINTS": "lines", "API_VERSION
 
 
 def detect(m: Model, config: dict | None = None, enabled: set[str] | None = None) -> DataFrame:
-    """All findings of the enabled detectors whose tables the model has."""
-    chosen = [f(m, config) for k, f in DETECTORS.items() if (enabled is None or k in enabled) and getattr(m, _NEEDS.get(k, "services")) is not None]
+    """All findings of the enabled detectors whose tables the model has, with code. A detector that cannot be planned or
+    fails on its rows leaves one DETECTOR_FAILED finding, and no more; the others' findings stay."""
+    chosen = []
+    for kind, detector in DETECTORS.items():
+        if (enabled is None or kind in enabled) and getattr(m, _NEEDS.get(kind, "services")) is not None:
+            try:
+                code = EVIDENCE[kind](m) if kind in EVIDENCE else None
+                chosen.append(keep(with_snippets(detector(m, config), code)))
+            except Exception as e:  # noqa: BLE001  whatever a detector raises is told, and does not stop the others
+                runs = m.services.select(*RUN).distinct()
+                chosen.append(finding(runs, FAILED, "LOW", F.lit(None).cast("string"), F.array().cast("array<string>"), {"detector": F.lit(kind)}, truncate(F.lit(f"{kind}: {type(e).__name__}: {str(e)[:200]}"), 300)))
+    if not chosen:
+        return finding(m.services.limit(0), "", "", F.lit(None).cast("string"), F.array().cast("array<string>"), {}, F.lit(""))
     out = chosen[0]
     for f in chosen[1:]:
         out = out.unionByName(f)

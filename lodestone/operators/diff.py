@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.text import canonical_list, strip
 from ..schema import RUN
@@ -61,12 +62,28 @@ def summary(delta: Column, resolved: Column, new: Column) -> Column:
     return F.concat_ws("; ", first, F.when(resolved > 0, F.format_string("%d resolved", resolved)), F.when(new > 0, F.format_string("%d new", new)))
 
 
-METRICS = ["health_score", "total_anti_patterns", "total_code_smells", "critical_issues", "high_issues", "medium_issues", "low_issues", "total_lines_of_code", "total_dependencies", "cycle_count", "services_analyzed"]
+METRICS = ["health_score", "coupling_coefficient", "anti_patterns", "code_quality", "architecture", "service_sizing", "total_anti_patterns", "total_code_smells", "critical_issues", "high_issues", "medium_issues", "low_issues", "total_lines_of_code", "total_dependencies", "cycle_count", "services_analyzed"]
 
 
 def history(results: DataFrame) -> DataFrame:
     """Runs, newest first in each project, with the change of each metric since the run before; first runs have null changes."""
     w = Window.partitionBy("project_id").orderBy("analysis_number")
     named = [c for c in METRICS if c in results.columns]
-    out = results.withColumns({f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in named} | {"previous_run": F.lag("analysis_number").over(w)})
+    former = {"previous_run": F.lag("analysis_number").over(w)} | ({"previous_grade": F.lag("grade").over(w)} if "grade" in results.columns else {})
+    out = results.withColumns({f"{c}_delta": F.col(c) - F.lag(c).over(w) for c in named} | former)
     return out.withColumn("position", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("analysis_number"))))
+
+
+def changes(findings: DataFrame, links: DataFrame) -> DataFrame:
+    """(run, state, and the finding): every finding of a run as new or unchanged, and those of the run before that it lacks as
+    resolved. Equal findings pair off in order; `findings` has the columns of one finding and a key."""
+    columns = [c for c in findings.columns if c not in (*RUN, "key")]
+    ordered = findings.withColumn("_order", F.xxhash64(*[F.to_json(c) if isinstance(findings.schema[c].dataType, MapType) else F.col(c) for c in columns]))
+    w = Window.partitionBy(*RUN, "key").orderBy("_order")
+    numbered = ordered.withColumn("rn", F.row_number().over(w)).select(*RUN, "key", "rn", F.struct(*columns).alias("f"))
+    linked = links.filter("previous_run is not null").select(*RUN, "previous_run")
+    now = numbered.join(linked.select(*RUN), RUN).withColumnRenamed("f", "current")
+    then = numbered.withColumnRenamed("analysis_number", "previous_run").join(linked, ["project_id", "previous_run"]).select(*RUN, "key", "rn", F.col("f").alias("former"))
+    both = now.join(then, [*RUN, "key", "rn"], "full_outer")
+    state = F.when(F.col("current").isNull(), "resolved").when(F.col("former").isNull(), "new").otherwise("unchanged")
+    return both.select(*RUN, state.alias("state"), "key", F.coalesce("current", "former").alias("f")).select(*RUN, "state", "key", "f.*")

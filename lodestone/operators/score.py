@@ -9,6 +9,8 @@ from ..functions.text import round_half_up
 from ..schema import PENALTY, RUN, option
 
 SIZING = ["NANO_SERVICE", "GOD_SERVICE"]
+#: Of no weight: what is told of a detector that failed.
+UNCOUNTED = "DETECTOR_FAILED"
 
 
 def penalty(severity) -> "F.Column":
@@ -24,7 +26,7 @@ def by_type(findings: DataFrame) -> DataFrame:
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy(*RUN).agg(F.count("*").alias("total_anti_patterns"), *[F.count_if(F.col("severity") == s).alias(f"{s.lower()}_issues") for s in PENALTY])
+    return findings.filter(F.col("pattern_type") != UNCOUNTED).groupBy(*RUN).agg(F.count("*").alias("total_anti_patterns"), *[F.count_if(F.col("severity") == s).alias(f"{s.lower()}_issues") for s in PENALTY])
 
 
 def grade(score) -> "F.Column":
@@ -33,6 +35,7 @@ def grade(score) -> "F.Column":
 
 def score(runs: DataFrame, findings: DataFrame, config: dict | None = None) -> DataFrame:
     """`runs` (run, smells, loc, coupling, cycles) with the four parts, health_score, grade and deductions."""
+    findings = findings.filter(F.col("pattern_type") != UNCOUNTED)
     sums = findings.groupBy(*RUN).agg(
         F.sum(F.when(F.col("pattern_type").isin(SIZING), 0).otherwise(penalty(F.col("severity")))).alias("_points"),
         F.count_if(F.col("pattern_type") == "NANO_SERVICE").alias("_nano"),
