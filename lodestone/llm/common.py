@@ -47,10 +47,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
             spark.conf.set(key, str(most))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so that a lost executor loses nothing."""
+#: Rows for which one partition more is worth its files.
+PART_ROWS = 20_000
+
+
+def packed(df: DataFrame, most: int) -> DataFrame:
+    """`df`, which has at most about `most` rows, in no more partitions than these are worth: each partition costs files in
+    every shuffle and table that follows. Partitions are joined where they lie; many rows keep all of theirs."""
+    return df.coalesce(max(1, -(-most // PART_ROWS)))
+
+
+def durable(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df` computed once and kept in the shared folder, so that a lost executor loses nothing; packed if `most` is known."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if most is None else packed(df, most)).checkpoint(eager=True)
 
 
 #: Hot keys are those of more than 1 / HOT of all rows, so there are fewer than HOT of them; rows that may be broadcast.

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, durable, light, release, small_batches, spread_join, table, texts
+from .common import NULL_ID, durable, light, packed, release, small_batches, spread_join, table, texts
 
 WORDS, SEED, BITS = 3, 42, 2
 #: Fingerprints in one trie at most; a key with more is dealt out anew.
@@ -223,29 +223,32 @@ def links(fps: DataFrame, budget: int = BITS, trie: int = TRIE) -> DataFrame:
 # -- components ---------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root): root is the least node of each component of at least two nodes. Star contraction:
     each round links the larger neighbours of a node, then the smaller ones, to its least neighbour. A node of very many
-    neighbours is a hot key of both joins, and is broadcast."""
+    neighbours is a hot key of both joins, and is broadcast. `most` bounds the number of edges, if it is known."""
     spark = edges.sparkSession
-    edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), most)
     before = None
     while True:
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
+        ends = 2 * state[0]
         # Only in a large graph can a node have so many neighbours that its join would keep a task long.
         large_graph = state[0] > FEW_EDGES
-        stored = durable if large_graph else (lambda df: df)
-        join = (lambda x, y: spread_join(x, y, "u", 2 * state[0])) if large_graph else (lambda x, y: x.join(y.drop("n"), "u"))
+        stored = (lambda df: durable(df, ends)) if large_graph else (lambda df: df)
+        join = (lambda x, y: spread_join(x, y, "u", ends)) if large_graph else (lambda x, y: x.join(y.drop("n"), "u"))
+        edges = packed(edges, ends)
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
-        large = durable(join(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = packed(join(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), ends)
+        large = durable(large.distinct(), ends)
         # Small star: every node with its smaller neighbours joins the least of them.
         least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = join(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        edges = durable(small.filter("u <> v").distinct())
+        edges = durable(packed(small.filter("u <> v"), ends).distinct(), ends)
         release(spark)
 
 
