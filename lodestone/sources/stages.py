@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 def keep(df: DataFrame) -> DataFrame:
     """`df` as it is now, without the plan that made it. The folder is that of spark.checkpoint.dir; where
-    it is unset, as in tests on one machine, a temporary one."""
+    it is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint(eager=True)
