@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup, toxicity
+from . import bpe, decontamination, language_id, line_dedup, merkle, quality, secret_scan, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,5 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+}
+ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op2_quality_rules": quality.ORACLE_SQL,
+    "op5_decontamination": decontamination.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
-ORACLE_SQL = {"op1_substring_dedup": substring_dedup.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op5_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
