@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, line_dedup, merkle, quality, secret_scan, sharding, simhash, substring_dedup, toxicity, vector_codes
+from . import bpe, decontamination, language_id, line_dedup, merkle, neighbours, quality, secret_scan, sharding, simhash, substring_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLE_SQL = {
