@@ -40,12 +40,14 @@ from .vector_codes import matrix, usual_length, whole_vectors
 NEIGHBOURS, EVERY = 20, 20
 #: Rows that the tree is fitted on, about; queries that visits are calibrated by, about; the share of true neighbours to find.
 SAMPLE, CALIBRATION, RECALL = 20_000, 200, 0.95
-#: Children of a node; rows of a leaf, about; leaves at most, about; rounds of k-means.
+#: Children of a node; rows of a leaf, at least (else twice the root of all rows); leaves at most, about; rounds of k-means.
 BRANCH, LEAF_ROWS, MOST_LEAVES, ROUNDS = 8, 200, 4096, 12
 #: Share of a node's spread by which it comes up earlier.
 SPREAD = 0.3
 #: Vectors, and queries, of a block.
 BLOCK_ROWS = 1024
+#: Pairs that a task holds before it merges them.
+HELD_ROWS = 500_000
 
 
 # -- the tree ------------------------------------------------------------------------------
@@ -157,7 +159,8 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Found:
-    """Pairs of a query and a candidate: the query's place, the candidate's row, id (nulls last) and leaf, and the score."""
+    """Pairs of a query and a candidate: the query's number, the candidate's row, id (nulls last) and leaf (or the query's id), and
+    the score."""
 
     query: np.ndarray
     row: np.ndarray
@@ -177,8 +180,9 @@ class Found:
     def _at(self, at: np.ndarray) -> Found:
         return Found(self.query[at], self.row[at], self.vec_id[at], self.null[at], self.leaf[at], self.score[at])
 
-    def __add__(self, other: Found) -> Found:
-        return Found(*[np.concatenate([getattr(self, f), getattr(other, f)]) for f in self.__dataclass_fields__])
+
+def joined(parts: list[Found]) -> Found:
+    return Found(*[np.concatenate([getattr(p, f) for p in parts]) for f in Found.__dataclass_fields__])
 
 
 def nearest(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, rows: np.ndarray, ids: pa.Array, leaf: np.ndarray, k: int) -> Found:
@@ -225,7 +229,7 @@ def _truth(q: np.ndarray, q_rows: np.ndarray, dims: int, k: int) -> Callable:
                 c = b.slice(at, BLOCK_ROWS)
                 rows, leaf = (c.column(n).to_numpy(zero_copy_only=False) for n in ("row", "leaf"))
                 found = nearest(q, q_rows, matrix(c.column("embedding"), dims), rows, c.column("vec_id"), leaf, k)
-                best = found if best is None else (best + found).best(k)
+                best = found if best is None else joined([best, found]).best(k)
         if best is not None:
             out = [pa.array(best.query, pa.int32()), pa.array(best.row, pa.int64()), pa.array(best.leaf, pa.int32()), pa.array(best.score)]
             yield pa.RecordBatch.from_arrays(out, ["query", "row", "leaf", "score"])
@@ -243,19 +247,38 @@ def _walks(tree: Tree, dims: int, least: int, sizes: np.ndarray, rows: int) -> C
 
 
 def _scores(dims: int, k: int) -> Callable:
+    """The k best of each query over the pairs of blocks that a task meets. Pairs are merged as they come, and what is held is
+    passed on when it is too much."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Found] = []
+        n = 0
         for b in batches:
-            for asked, held in zip(b.column("queries"), b.column("members")):
+            for asked, members in zip(b.column("queries"), b.column("members")):
                 q, q_rows, q_ids = _vectors(asked, dims)
-                x, rows, ids = _vectors(held, dims)
+                x, rows, ids = _vectors(members, dims)
                 f = nearest(q, q_rows, x, rows, ids, rows, k)
-                near = pa.array(f.vec_id, pa.int64(), mask=f.null)
-                out = [pa.array(q_rows[f.query], pa.int64()), q_ids.take(pa.array(f.query)), near, pa.array(f.row, pa.int64()), pa.array(f.score)]
-                yield pa.RecordBatch.from_arrays(out, ["asker", "query_id", "vec_id", "row", "score"])
+                f.leaf, f.query = q_ids.to_numpy(zero_copy_only=False)[f.query], q_rows[f.query]
+                held.append(f)
+                n += len(f.row)
+                if n > HELD_ROWS:
+                    held = [joined(held).best(k)]
+                    n = len(held[0].row)
+                    if n > HELD_ROWS // 2:
+                        yield _rows(held.pop())
+                        n = 0
+        if held:
+            yield _rows(joined(held).best(k))
 
     return score
 
 
+def _rows(f: Found) -> pa.RecordBatch:
+    near = pa.array(f.vec_id, pa.int64(), mask=f.null)
+    out = [pa.array(f.query, pa.int64()), pa.array(f.leaf, pa.int64()), near, pa.array(f.row, pa.int64()), pa.array(f.score)]
+    return pa.RecordBatch.from_arrays(out, ["asker", "query_id", "vec_id", "row", "score"])
+
+
 def _dealt(df: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     """Rows of each leaf in blocks of about BLOCK_ROWS, dealt out by a hash of the row; `sizes` has a bounded number of leaves."""
     parts = F.ceil(F.col("n") / BLOCK_ROWS)
@@ -274,13 +297,14 @@ def calibrated(tree: Tree, q: np.ndarray, truth: list, sizes: np.ndarray, recall
     return visits, found
 
 
-def search(df: DataFrame, queries, k: int = NEIGHBOURS, recall: float = RECALL, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def search(df: DataFrame, queries, k: int = NEIGHBOURS, recall: float = RECALL, sample: int = SAMPLE, leaf_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the `k` nearest rows found for each row of `df` (vec_id, embedding) where `queries` is true."""
     spark = df.sparkSession
     small_batches(spark, 4 * BLOCK_ROWS)
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    typed = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    kind = "array<float>" if dict(df.dtypes)["embedding"] == "array<float>" else "array<double>"
+    typed = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     whole = whole_vectors(typed, "embedding").withColumn("norm", norm).filter("norm > 0")
     scratch = Scratch(spark)
     rows = scratch.keep(whole.withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -296,9 +320,10 @@ def search(df: DataFrame, queries, k: int = NEIGHBOURS, recall: float = RECALL,
         return few.select("row", "embedding").toArrow()
 
     fitted = matrix(drawn(rows, known["n"], sample, 1).column("embedding").combine_chunks(), dims)
-    of_leaf = max(1, round(max(leaf_rows, known["n"] / MOST_LEAVES) * min(1.0, sample / known["n"])))
+    size = max(leaf_rows or max(LEAF_ROWS, 2 * known["n"] ** 0.5), known["n"] / MOST_LEAVES)
+    of_leaf = max(1, round(size * min(1.0, sample / known["n"])))
     tree = fit(fitted if len(fitted) else np.zeros((1, dims)), known["reach"], of_leaf)
-    index = scratch.keep(rows.drop("norm").mapInArrow(_assigned(tree, dims), "row long, vec_id long, embedding array<double>, leaf int"), "index")
+    index = scratch.keep(rows.drop("norm").mapInArrow(_assigned(tree, dims), f"row long, vec_id long, embedding {kind}, leaf int"), "index")
     counts = index.groupBy("leaf").agg(F.count("*").alias("n"))  # at most one row for each leaf of the tree
     sizes = np.zeros(tree.leaves, np.int64)
     for r in counts.collect():
@@ -315,7 +340,7 @@ def search(df: DataFrame, queries, k: int = NEIGHBOURS, recall: float = RECALL,
         visits, _ = calibrated(tree, q, truth, sizes, recall)
     else:
         visits = tree.leaves
-    walks = scratch.keep(asking.mapInArrow(_walks(tree, dims, visits, sizes, k + 1), "row long, vec_id long, embedding array<double>, leaves array<int>"), "walks")
+    walks = scratch.keep(asking.mapInArrow(_walks(tree, dims, visits, sizes, k + 1), f"row long, vec_id long, embedding {kind}, leaves array<int>"), "walks")
     asked = walks.select("row", "vec_id", "embedding", F.explode("leaves").alias("leaf"))
     asked_sizes = scratch.keep(asked.groupBy("leaf").agg(F.count("*").alias("n")), "asked")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK_ROWS) - 1)).alias("block")
