@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_service, port_of, strip_suffix
@@ -66,22 +66,66 @@ def aliases(services: DataFrame) -> DataFrame:
     return own.unionByName(app).withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("project_id", "alias", "id")
 
 
+#: Length of the pieces by which a name is sought within others; shorter names are sought whole.
+GRAM = 3
+
+
+def _grams(df: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    """Rows of `df` for each distinct piece of `text`, of each of `sizes` letters."""
+    length = F.length(text)
+
+    def of(n: int) -> Column:
+        return F.when(length >= n, F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring(F.col(text), i, n)))
+
+    pieces = [of(n) for n in sizes]
+    whole = F.array_distinct(F.flatten(F.filter(F.array(*pieces), lambda x: x.isNotNull())))
+    return df.withColumn("gram", F.explode(whole))
+
+
+def within(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """(project_id, needle, haystack) for each `needle` (project_id, needle; none is empty) that is a part of a `haystack`
+    (project_id, haystack) of its project. A needle is looked up by one piece of it, the one that the fewest haystacks of the
+    project hold, and then compared; no needle meets a haystack with which it does not share that piece."""
+    needles, haystacks = needles.distinct(), haystacks.distinct()
+    held = _grams(haystacks, "haystack", list(range(1, GRAM + 1)))
+    often = held.groupBy("project_id", "gram").agg(F.count("*").alias("n"))
+    # Pieces of a needle are as long as it allows, up to GRAM letters.
+    own = _grams(needles.withColumn("size", F.least(F.length("needle"), F.lit(GRAM))), "needle", list(range(1, GRAM + 1))).filter(F.length("gram") == F.col("size"))
+    # A piece that no haystack holds rules its needle out.
+    counted = own.join(often, ["project_id", "gram"], "left").na.fill(0, ["n"])
+    rarest = counted.groupBy("project_id", "needle").agg(F.min(F.struct("n", "gram")).alias("r")).filter("r.n > 0").select("project_id", "needle", F.col("r.gram").alias("gram"))
+    return held.join(rarest, ["project_id", "gram"]).filter(F.contains("haystack", "needle")).select("project_id", "needle", "haystack")
+
+
+def alike(targets: DataFrame, names: DataFrame) -> DataFrame:
+    """(project_id, norm, alias) of targets and aliases of which one is a part of the other, or the alias without its suffix a part of
+    the target. An alias of nothing but a suffix is a part of any target; of those, the first of each project counts."""
+    stripped = names.select("project_id", "alias", strip_suffix(F.col("alias")).alias("needle"))
+    needles = names.select("project_id", "alias", F.col("alias").alias("needle")).unionByName(stripped).distinct()
+    norms = targets.select("project_id", "norm").distinct()
+    ahead = within(needles.filter("needle <> ''").select("project_id", "needle"), norms.select("project_id", F.col("norm").alias("haystack")))
+    ahead = ahead.join(needles, ["project_id", "needle"]).select("project_id", F.col("haystack").alias("norm"), "alias")
+    back = within(norms.select("project_id", F.col("norm").alias("needle")), names.select("project_id", F.col("alias").alias("haystack")))
+    bare = needles.filter("needle = ''").groupBy("project_id").agg(F.min("alias").alias("alias"))
+    everywhere = norms.join(bare, "project_id").select("project_id", "norm", "alias")
+    return ahead.unionByName(back.select("project_id", F.col("needle").alias("norm"), F.col("haystack").alias("alias"))).unionByName(everywhere)
+
+
 def resolve(calls: DataFrame, services: DataFrame) -> DataFrame:
     """`calls` (project_id, target, ...) with target_id and tier: by name, by port, then by likeness of names; first hit by tier and name."""
     targets = calls.select("project_id", "target").distinct().withColumn("norm", normalize_service(F.col("target")))
     names = aliases(services)
-    by_name = targets.join(names, (targets["project_id"] == names["project_id"]) & (F.col("norm") == F.col("alias"))).select(targets["project_id"], "target", "id", F.lit(1).alias("tier"), "alias")
+    by_name = targets.join(names.withColumn("norm", F.col("alias")), ["project_id", "norm"]).select("project_id", "target", "id", F.lit(1).alias("tier"), "alias")
     last = services.filter("port is not null").groupBy("project_id", "port").agg(F.max("id").alias("id"))
     ported = targets.withColumn("port", port_of(F.col("target")))
     by_port = ported.join(last, ["project_id", "port"]).select("project_id", "target", "id", F.lit(2).alias("tier"), F.lit("").alias("alias"))
-    # Likeness is no equality, but it is sought within one project only, among the targets that the first tiers leave.
+    # Likeness is sought among the targets that the first tiers leave.
     left = targets.join(by_name.unionByName(by_port).select("project_id", "target").distinct(), ["project_id", "target"], "left_anti").filter("norm <> ''")
-    pairs = left.join(names, "project_id")
-    like = F.contains(F.col("norm"), F.col("alias")) | F.contains(F.col("alias"), F.col("norm")) | F.contains(F.col("norm"), strip_suffix(F.col("alias")))
-    by_like = pairs.filter(like).select("project_id", "target", "id", F.lit(3).alias("tier"), "alias")
-    first = Window.partitionBy("project_id", "target").orderBy("tier", "alias", "id")
-    hit = by_name.unionByName(by_port).unionByName(by_like).withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("project_id", "target", F.col("id").alias("target_id"), "tier")
-    return calls.join(hit, ["project_id", "target"])
+    first_like = alike(left, names).groupBy("project_id", "norm").agg(F.min("alias").alias("alias"))
+    by_like = left.join(first_like, ["project_id", "norm"]).join(names, ["project_id", "alias"]).select("project_id", "target", "id", F.lit(3).alias("tier"), "alias")
+    hit = by_name.unionByName(by_port).unionByName(by_like)
+    best = hit.groupBy("project_id", "target").agg(F.min(F.struct("tier", "alias", "id")).alias("h")).select("project_id", "target", F.col("h.id").alias("target_id"), F.col("h.tier").alias("tier"))
+    return calls.join(best, ["project_id", "target"])
 
 
 def dependencies(calls: DataFrame, services: DataFrame) -> DataFrame:
