@@ -1,8 +1,8 @@
 """Graph operators over dependency rows, for all runs at once.
 
-Metrics are aggregates. Strongly connected components and betweenness need one
-graph whole; a run's graph has one node for each service, so one run is the
-unit of work and runs spread over the cluster.
+Metrics are aggregates. Strongly connected components and betweenness of a run
+with few edges are found in one task each, and runs spread over the cluster;
+runs with more edges go through rounds of joins (`large_graph`).
 """
 
 from __future__ import annotations
@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RUN
+from ..sources.stages import keep
+from . import large_graph
+
+#: Distinct edges of a run up to which one task takes it whole: for components, which need a pass, and for shortest paths, which need one for each node.
+SMALL, SMALL_PATHS = 20_000, 2_000
 
 
 def edges(deps: DataFrame) -> DataFrame:
@@ -67,14 +72,46 @@ def components(pairs: list[tuple[int, int]]) -> list[list[int]]:
     return sorted(out)
 
 
-def scc(deps: DataFrame) -> DataFrame:
-    """(run, component, id): members of each cycle group; a component is named by its least member."""
+def _by_size(deps: DataFrame, small: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Distinct edges of runs with up to `small` of them, and of the others; None where there are none."""
+    e = keep(edges(deps))
+    n = keep(e.groupBy(*RUN).agg(F.count("*").alias("_n")))
+    most, least = n.agg(F.max("_n"), F.min("_n")).first()
+    if most is None or most <= small:
+        return e, None
+    if least > small:
+        return None, e
+    sized = e.join(n, RUN)
+    return sized.filter(F.col("_n") <= small).drop("_n"), keep(sized.filter(F.col("_n") > small).drop("_n"))
+
 
+def _scc_by_run(e: DataFrame) -> DataFrame:
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         rows = [(*key, g[0], v) for g in components(list(zip(frame.s, frame.t))) for v in g]
         return pd.DataFrame(rows, columns=[*RUN, "component", "id"])
 
-    return edges(deps).groupBy(*RUN).applyInPandas(run, "project_id long, analysis_number int, component long, id long")
+    return e.groupBy(*RUN).applyInPandas(run, "project_id long, analysis_number int, component long, id long")
+
+
+def _brandes_by_run(e: DataFrame) -> DataFrame:
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(*key, v, b) for v, b in brandes(list(zip(frame.s, frame.t))).items()]
+        return pd.DataFrame(rows, columns=[*RUN, "id", "bc"])
+
+    return e.groupBy(*RUN).applyInPandas(run, "project_id long, analysis_number int, id long, bc double")
+
+
+def _either(deps: DataFrame, small: int, by_run, by_rounds) -> DataFrame:
+    few, many = _by_size(deps, small)
+    if many is None:
+        return by_run(few)
+    return by_rounds(many) if few is None else by_run(few).unionByName(by_rounds(many))
+
+
+def scc(deps: DataFrame, small: int = SMALL) -> DataFrame:
+    """(run, component, id): members of each cycle group; a component is named by its least member. Runs of more than `small`
+    distinct edges go through rounds of joins, until `small` edges are left in all."""
+    return _either(deps, small, _scc_by_run, lambda e: large_graph.components(e, _scc_by_run, small))
 
 
 def brandes(pairs: list[tuple[int, int]]) -> dict:
@@ -105,17 +142,15 @@ def brandes(pairs: list[tuple[int, int]]) -> dict:
     return out
 
 
-def betweenness(services: DataFrame, deps: DataFrame) -> DataFrame:
-    """(run, id, bc, bc_norm) of every service; normalised by (n-1)(n-2)."""
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, v, b) for v, b in brandes(list(zip(frame.s, frame.t))).items()]
-        return pd.DataFrame(rows, columns=[*RUN, "id", "bc"])
-
-    found = edges(deps).groupBy(*RUN).applyInPandas(run, "project_id long, analysis_number int, id long, bc double")
+def betweenness(services: DataFrame, deps: DataFrame, small: int = SMALL_PATHS) -> DataFrame:
+    """(run, id, bc, bc_norm) of every service; normalised by (n-1)(n-2). Runs of more than `small` distinct edges go through
+    rounds of joins."""
+    found = _either(deps, small, _brandes_by_run, large_graph.betweenness)
     n = services.groupBy(*RUN).agg(F.count("*").alias("_n"))
     pairs = (F.col("_n") - 1) * (F.col("_n") - 2)
-    return services.select(*RUN, "id").join(n, RUN).join(found, [*RUN, "id"], "left").select(*RUN, "id", F.coalesce("bc", F.lit(0.0)).alias("bc"), F.when(pairs > 0, F.coalesce("bc", F.lit(0.0)) / pairs).otherwise(0.0).alias("bc_norm"))
+    bc = F.coalesce("bc", F.lit(0.0))
+    rows = services.select(*RUN, "id").join(n, RUN).join(found, [*RUN, "id"], "left")
+    return rows.select(*RUN, "id", bc.alias("bc"), F.when(pairs > 0, bc / pairs).otherwise(0.0).alias("bc_norm"))
 
 
 def run_metrics(services: DataFrame, deps: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ from ..sources import files
 from .lens import _BC, _LITERALS, _SCORE, DEPS, LINES, ORACLE_SQL, QUERIES, Tables, query  # noqa: F401  the registry is shared
 
 
-def _full(df: DataFrame, *more: str) -> DataFrame:
-    """A finding with its description, and the details named in `more`."""
-    return df.select("pattern_type", "severity", F.col("primary_service").alias("service"), F.array_join("affected", ",").alias("affected"), "description", *[F.col("details")[k].alias(k) for k in more])
+def _full(df: DataFrame, *more: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A finding with its description, the details named in `more`, and its `columns`."""
+    details = [F.col("details")[k].alias(k) for k in more]
+    return df.select("pattern_type", "severity", F.col("primary_service").alias("service"), F.array_join("affected", ",").alias("affected"), "description", *details, *columns)
 
 
 # -- god services -----------------------------------------------------------------
@@ -71,7 +72,7 @@ def k5b(spark, d):
     held = v.read("customer").join(v.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     clients = held.groupBy(F.col("n_name").alias("service"), F.concat(F.lit("T"), (F.col("c_custkey") % 3).cast("string")).alias("type")).agg((F.count("*") * 7).alias("calls"))
     found = detectors.chatty(detectors.Model(v.services, v.deps, clients=v.run(clients)), {"chatty_min_calls": 125})
-    return _full(found, "type").join(found.select(F.col("description"), "call_count"), "description")
+    return _full(found, "type", columns=("call_count",))
 
 
 # -- lines: block comments, every kind of line, lines of code ---------------------------
@@ -122,7 +123,7 @@ def s18(spark, d):
     return scan.line_counts(files.of_services(files.source_lines(texts), services))
 
 
-@query("k6_hardcoded_urls", f"WITH {LINES}, {_LITERALS} SELECT 'HARDCODED_ENDPOINTS' pattern_type, 'MEDIUM' severity, service, service affected, concat(count(*), ' fixed addresses') description, string_agg(url, ',' ORDER BY line_no, pos) urls FROM (SELECT service, line_no, url, row_number() OVER (PARTITION BY line_no) pos FROM u WHERE url <> '') GROUP BY 3")
+@query("k6_hardcoded_urls", f"WITH {LINES}, {_LITERALS} SELECT 'HARDCODED_ENDPOINTS' pattern_type, 'MEDIUM' severity, service, service affected, concat(count(*), ' fixed addresses') description, string_agg(url, ',' ORDER BY line_no, pos) urls FROM u WHERE url <> '' GROUP BY 3")
 def k6(spark, d):
     v = Tables(spark, d)
     return _full(detectors.hardcoded(detectors.Model(v.services, v.deps, lines=v.run(v.lines))), "urls")
@@ -152,6 +153,40 @@ def g7(spark, d):
     return graph.most_called(Tables(spark, d).deps).select("id", "calls", "rank")
 
 
+def _supplier_edges(modulus: int) -> str:
+    return f"""e AS (SELECT DISTINCT a.l_suppkey s, b.l_suppkey t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+ WHERE (a.l_suppkey * 7 + b.l_suppkey * 3) % {modulus} = 0 AND a.l_suppkey <> b.l_suppkey)"""
+
+
+def supplier_edges(v: Tables, modulus: int) -> DataFrame:
+    """Suppliers of consecutive lines of an order as callers and called, for some of the pairs."""
+    line = v.read("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("long").alias("source_service_id"))
+    next_ = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("source_service_id").alias("target_service_id"))
+    pairs = line.join(next_, ["l_orderkey", "l_linenumber"]).select("source_service_id", "target_service_id").distinct()
+    return v.run(pairs.filter((F.col("source_service_id") * 7 + F.col("target_service_id") * 3) % modulus == 0))
+
+
+@query("g2_supplier_groups", f"""WITH RECURSIVE {_supplier_edges(73)}, r(s, t) AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
+c AS (SELECT a.s id, min(a.t) component FROM r a JOIN r b ON a.s = b.t AND a.t = b.s GROUP BY 1)
+SELECT CAST(component AS BIGINT) component, CAST(id AS BIGINT) id FROM c WHERE component IN (SELECT component FROM c GROUP BY 1 HAVING count(*) > 1)""")
+def g2b(spark, d):
+    """Cycle groups by rounds of joins, whatever the size of the graph."""
+    return graph.scc(supplier_edges(Tables(spark, d), 73), small=0).select("component", "id")
+
+
+@query("g3_supplier_paths", f"""WITH RECURSIVE {_supplier_edges(41)},
+w AS (SELECT 1 d, s, t, CAST(1 AS DOUBLE) sg FROM e UNION ALL SELECT d + 1, w.s, e.t, sum(sg) FROM w JOIN e ON w.t = e.s WHERE d < 24 GROUP BY d, w.s, e.t),
+sp AS (SELECT s, t, d, sg FROM (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY d) rn FROM w WHERE s <> t) WHERE rn = 1),
+b AS (SELECT a.t v, sum(a.sg * b.sg / p.sg) bc FROM sp a JOIN sp b ON a.t = b.s JOIN sp p ON p.s = a.s AND p.t = b.t AND p.d = a.d + b.d WHERE a.s <> b.t GROUP BY 1)
+SELECT s_suppkey id, round(coalesce(bc, 0), 4) bc, round(coalesce(bc, 0) / ((SELECT count(*) FROM supplier) - 1) / ((SELECT count(*) FROM supplier) - 2), 8) bc_norm FROM supplier LEFT JOIN b ON v = s_suppkey""")
+def g3b(spark, d):
+    """Betweenness by rounds of joins, whatever the size of the graph."""
+    v = Tables(spark, d)
+    services = v.run(v.read("supplier").select(F.col("s_suppkey").cast("long").alias("id")))
+    found = graph.betweenness(services, supplier_edges(v, 41), small=0)
+    return found.select("id", F.round("bc", 4).alias("bc"), F.round("bc_norm", 8).alias("bc_norm"))
+
+
 @query("h6_deductions", f"""{_SCORE}, k AS (SELECT project, kind reason, count(*) n, sum(CASE severity WHEN 'CRITICAL' THEN 8 WHEN 'HIGH' THEN 5 WHEN 'MEDIUM' THEN 3 ELSE 1 END) points FROM f WHERE kind NOT IN ('NANO_SERVICE', 'GOD_SERVICE') GROUP BY 1, 2),
 m AS (SELECT project, reason, n, points FROM k
  UNION ALL SELECT project, 'SMELL_DENSITY', smells, least(20, floor(20 * (smells / (loc / 1000.0)) / 80 + 0.5)) FROM r WHERE smells > 0
@@ -298,6 +333,27 @@ def j9(spark, d):
     return model.aliases(held).select("alias", "id")
 
 
+@query("j8_similar_names", """WITH s AS (SELECT s_suppkey id, s_suppkey % 3 project, concat(['ring', 'widget', 'all-r', 'green-service', '-api', 'x-svc'][s_suppkey % 6 + 1], CASE WHEN s_suppkey % 4 < 2 THEN concat('-', s_suppkey % 31) ELSE '' END,
+ CASE WHEN s_suppkey % 5 = 0 THEN '-service' ELSE '' END) AS name FROM supplier),
+a AS (SELECT project, name AS alias, regexp_replace(name, '-(service|svc|ms|api|server|app)$', '') bare, max(id) id FROM s GROUP BY 1, 2),
+t AS (SELECT DISTINCT p_size % 3 project, CASE WHEN p_partkey % 9 = 0 THEN left(p_name, 1 + p_partkey % 4) ELSE concat(replace(p_name, ' ', '-'), '-', p_partkey % 50) END target FROM part),
+h AS (SELECT t.project, target, id, alias, CASE WHEN alias = target THEN 1 ELSE 3 END tier FROM t JOIN a ON a.project = t.project AND (alias = target OR contains(target, alias) OR contains(alias, target) OR contains(target, bare)))
+SELECT CAST(project AS BIGINT) project_id, target, CAST(id AS BIGINT) target_id, CAST(tier AS INTEGER) tier FROM (SELECT *, row_number() OVER (PARTITION BY project, target ORDER BY tier, alias, id) rn FROM h) WHERE rn = 1""")
+def j8b(spark, d):
+    """Targets and services of three projects with names that are parts of each other."""
+    v = Tables(spark, d)
+    k = F.col("s_suppkey")
+    word = F.element_at(F.array(*[F.lit(x) for x in ["ring", "widget", "all-r", "green-service", "-api", "x-svc"]]), (k % 6 + 1).cast("int"))
+    number = F.when(k % 4 < 2, F.concat(F.lit("-"), (k % 31).cast("string"))).otherwise("")
+    name = F.concat(word, number, F.when(k % 5 == 0, "-service").otherwise(""))
+    none = F.lit(None)
+    services = v.read("supplier").select((k % 3).cast("long").alias("project_id"), k.cast("long").alias("id"), name.alias("name"), none.cast("string").alias("app_name"), none.cast("int").alias("port"))
+    p = F.col("p_partkey")
+    target = F.when(p % 9 == 0, F.left("p_name", (1 + p % 4).cast("int"))).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), (p % 50).cast("string")))
+    calls = v.read("part").select((F.col("p_size") % 3).cast("long").alias("project_id"), target.alias("target")).distinct()
+    return model.resolve(calls, services).select("project_id", "target", "target_id", "tier")
+
+
 @query("a12_call_evidence", """WITH c AS (SELECT c_nationkey source_id, c_custkey % 4 target_id, c_custkey ord FROM customer)
 SELECT CAST(source_id AS BIGINT) source_id, CAST(target_id AS BIGINT) target_id, CAST(count(*) AS INTEGER) call_count, concat('F', min(ord)) AS file FROM c WHERE source_id <> target_id GROUP BY 1, 2""")
 def a12(spark, d):

@@ -155,8 +155,9 @@ def k5(spark, d):
     return _short(detectors.chatty(detectors.Model(v.services, v.deps), {"chatty_min_calls": 100}), "call_count")
 
 
-_LITERALS = """lit AS (SELECT service, line_no, unnest(regexp_extract_all(text, '"([^"]*)"', 1)) AS body FROM src WHERE NOT regexp_matches(text, '^(//|\\*|/\\*|import |package )')),
-u AS (SELECT service, line_no, regexp_extract(body, '(?i)(https?://[\\w.\\-:]+[/\\w.\\-?=&#%]*|(localhost|127\\.0\\.0\\.1|\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}):\\d{2,5}([/\\w.\\-?=&#%]*)?)', 1) AS url FROM lit)"""
+_LITERALS = """lit AS (SELECT service, line_no, unnest(q) AS body, generate_subscripts(q, 1) AS pos FROM (
+ SELECT service, line_no, regexp_extract_all(text, '"([^"]*)"', 1) AS q FROM src WHERE NOT regexp_matches(text, '^(//|\\*|/\\*|import |package )'))),
+u AS (SELECT service, line_no, pos, regexp_extract(body, '(?i)(https?://[\\w.\\-:]+[/\\w.\\-?=&#%]*|(localhost|127\\.0\\.0\\.1|\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}):\\d{2,5}([/\\w.\\-?=&#%]*)?)', 1) AS url FROM lit)"""
 
 
 @query("p13_hardcoded_urls", f"WITH {LINES}, {_LITERALS} SELECT service, CAST(line_no AS INTEGER) line_no, url FROM u WHERE url <> ''")

@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """`df` as it is now, without the plan that made it. The folder is that of spark.checkpoint.dir; where
-    it is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """`df` as it is now, without the plan that made it."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Stored:
+    """A table written to the shared folder as Parquet, its number of rows `n`, and counts of rows for which conditions hold,
+    all from the one job that writes it."""
+
+    def __init__(self, df: DataFrame, **counts: Column) -> None:
+        spark, seen = df.sparkSession, Observation()
+        path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        told = [F.count_if(c).alias(k) for k, c in counts.items()]
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *told).write.parquet(path)
+        self.counts = seen.get
+        self.n = self.counts["n"]
+        self.df = spark.read.schema(df.schema).parquet(path)
