@@ -14,13 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .stages import keep
 
 ANNOTATION = "struct<name:string,text:string,value:string>"
+#: A part of a joined text: a literal (lit), the name of a field or variable (ref), or anything else (other).
+PART = "struct<kind:string,val:string>"
 TYPE = (
     "path string, package string, name string, kind string, is_abstract boolean, line int, end_line int, imports array<string>, ctor_params int, "
     f"annotations array<{ANNOTATION}>, fields array<struct<name:string,type:string,is_static:boolean,annotations:array<{ANNOTATION}>>>, "
     f"methods array<struct<name:string,is_public:boolean,is_static:boolean,is_default:boolean,n_params:int,line:int,annotations:array<{ANNOTATION}>,used:array<string>>>, "
-    "calls array<struct<method:string,receiver:string,receiver_type:string,line:int,code:string,url:array<struct<kind:string,val:string>>>>"
+    f"calls array<struct<method:string,receiver:string,receiver_type:string,line:int,at:int,code:string,url:array<{PART}>>>, "
+    f"defs array<struct<name:string,at:int,value:array<{PART}>>>"
 )
 # Methods and types that make a call a remote call, and marks of data classes.
 REST_METHODS = ["getForObject", "getForEntity", "postForObject", "postForEntity", "exchange", "put", "delete", "patchForObject"]
@@ -35,6 +39,7 @@ _NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])
 _DECLARED = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
 _MARK = re.compile(r"@(\w+(?:\.\w+)*)")
 _CALL = re.compile(r"\b(\w+)\s*\(")
+_DEFINED = re.compile(r"\b(?:String|var|URI|URL)\s+(\w+)\s*=(?!=)|(?<=[;{}])\s*(?:this\s*\.\s*)?(\w+)\s*=(?!=)")
 
 
 def mask(text: str) -> tuple[str, str]:
@@ -97,14 +102,33 @@ def _split_args(bare: str, masked: str) -> list[str]:
     return [x.strip() for x in [*out, bare[at:]] if x.strip()]
 
 
-def _url(expr: str) -> list[dict]:
-    """Parts of an address: literals, and names of fields or variables."""
+def _parts(expr: str, masked: str) -> list[dict]:
+    """What a text is joined from, in order."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(masked + "+"):
+        depth += (c in "([{") - (c in ")]}")
+        if c != "+" or depth > 0:
+            continue
+        part, at = expr[at:i].strip(), i + 1
+        if (text := literal(part)) is not None:
+            out.append({"kind": "lit", "val": text})
+        elif (name := re.fullmatch(r"(?:this\s*\.\s*)?([A-Za-z_$][\w$]*)", part)) is not None:
+            out.append({"kind": "ref", "val": name[1]})
+        elif part:
+            out.append({"kind": "other", "val": part[:200]})
+    return out
+
+
+def _defs(bare: str, masked: str) -> list[dict]:
+    """Texts that fields and variables are set to."""
     out = []
-    for part in re.findall(r'"(?:\\.|[^"\\])*"|\b(?:this\.)?\w+\b', expr):
-        if part[0] == '"':
-            out.append({"kind": "lit", "val": part[1:-1]})
-        elif part != "this":
-            out.append({"kind": "ref", "val": part.removeprefix("this.")})
+    for m in _DEFINED.finditer(masked):
+        end = masked.find(";", m.end())
+        if end < 0:
+            break
+        value = _parts(bare[m.end() : end], masked[m.end() : end])
+        if value and value[0]["kind"] != "other":
+            out.append({"name": m[1] or m[2], "at": m.start(1) if m[1] else m.start(2), "value": value})
     return out
 
 
@@ -137,7 +161,9 @@ def read_types(path: str, text: str) -> list[dict]:
         for method, body in bodies:
             method["used"] = sorted(names & set(re.findall(r"\w+", mask(body or "")[1])))
         types = {f["name"]: f["type"] for f in kind["fields"]}
-        kind["calls"] = _calls(bare[open_:end], masked[open_:end], types, lambda k, o=open_: line(o + k))
+        own_line = lambda k, o=open_: line(o + k)
+        kind["calls"] = _calls(bare[open_:end], masked[open_:end], types, own_line)
+        kind["defs"] = _defs(bare[open_:end], masked[open_:end])
         out.append(kind)
         at = end + 1
     return out
@@ -178,7 +204,7 @@ def _calls(bare: str, masked: str, types: dict, line) -> list[dict]:
         declared = types.get(receiver) or ((re.search(rf"\b([A-Z]\w*)(?:<[^>]*>)?\s+{re.escape(receiver)}\s*[=;,)]", masked) or [None, None])[1] if receiver else None)
         if declared is None and receiver and receiver[0].isupper():
             declared = receiver
-        out.append({"method": method, "receiver": receiver, "receiver_type": declared, "line": line(begin), "code": bare[begin : close + 1][:200], "url": _url(args[0]) if args else []})
+        out.append({"method": method, "receiver": receiver, "receiver_type": declared, "line": line(begin), "at": begin, "code": bare[begin : close + 1][:200], "url": _parts(args[0], mask(args[0])[1]) if args else []})
     return out
 
 
@@ -187,7 +213,7 @@ def java_types(files: DataFrame) -> DataFrame:
     more = "service string, " if "service" in files.columns else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in (more + "path string, package, name, kind, is_abstract, line, end_line, imports, ctor_params, annotations, fields, methods, calls").split(", ") if c]
+        names = [c.split(" ")[0] for c in (more + "path string, package, name, kind, is_abstract, line, end_line, imports, ctor_params, annotations, fields, methods, calls, defs").split(", ") if c]
         for b in batches:
             rows = []
             for k in range(len(b)):
@@ -218,9 +244,55 @@ def endpoints(types: DataFrame) -> DataFrame:
     return out.withColumn("has_versioning", F.col("api_version").isNotNull())
 
 
-def raw_calls(types: DataFrame, props: DataFrame | None = None) -> DataFrame:
+#: Rounds of following names; each doubles the length of the chains that are followed.
+FOLLOW_ROUNDS = 12
+
+
+def texts(uses: DataFrame, values: DataFrame, defs: DataFrame | None = None) -> DataFrame:
+    """`uses` (service, path, type, at, parts, ...) with `text`, null if it can't be told. A text begins with a literal or a name that
+    `values` (service, name, value) knows, and goes on with the literals among its other parts. With `defs` (service, path, type, name,
+    at, value), other names stand for what they were last set to before the use, or, as fields, anywhere in their type; names that lead
+    to names are followed by joining the table with itself, which doubles the reach of each chain in every round."""
+    head, scope = F.get("parts", F.lit(0)), ["service", "path", "type"]
+    tail = F.array_join(F.transform(F.filter(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: x["kind"] == "lit"), lambda x: x["val"]), "")
+    known = values.select("service", F.col("name").alias("_name"), F.col("value").alias("_value"))
+
+    def begun(df: DataFrame) -> DataFrame:
+        named = df.withColumns({"_name": F.when(head["kind"] == "ref", head["val"]), "_tail": tail}).join(known, ["service", "_name"], "left")
+        first = F.when(head["kind"] == "lit", head["val"]).otherwise(F.col("_value"))
+        return named.withColumn("text", F.concat(first, "_tail")).drop("_value")
+
+    found = begun(uses)
+    if defs is None:
+        return found.drop("_name", "_tail")
+    found = keep(found.withColumn("_id", F.monotonically_increasing_id()))
+    made = defs.select(*scope, "at", F.col("value").alias("parts"), F.col("name").alias("own"))
+    nodes = keep(begun(made).withColumn("_id", F.monotonically_increasing_id()))
+    ends = nodes.select(*scope, F.col("own").alias("_name"), F.col("at").alias("_at"), F.col("_id").alias("_to"))
+
+    def linked(df: DataFrame) -> DataFrame:
+        """The definition that each name without a text stands for: the last before it, else the first of its type; not its own."""
+        before = F.when(F.col("_at") < F.col("at"), F.struct(F.lit(0).alias("a"), (-F.col("_at")).alias("b")))
+        near = before.otherwise(F.struct(F.lit(1).alias("a"), F.col("_at").alias("b")))
+        open_ = df.filter("text is null and _name is not null").join(ends, [*scope, "_name"]).filter(F.col("_to") != F.col("_id") if "own" in df.columns else F.lit(True))
+        return df.join(open_.groupBy("_id").agg(F.min_by("_to", near).alias("_to")), "_id", "left")
+
+    chain = keep(linked(nodes).select("_id", "text", "_tail", "_to"))
+    for _ in range(FOLLOW_ROUNDS):
+        if chain.filter("text is null and _to is not null").isEmpty():
+            break
+        ahead = chain.select(F.col("_id").alias("_to"), F.col("text").alias("_text"), F.col("_tail").alias("_more"), F.col("_to").alias("_next"))
+        text = F.coalesce("text", F.concat("_text", "_tail"))
+        chain = keep(chain.join(ahead, "_to", "left").select("_id", text.alias("text"), F.when(text.isNull(), F.concat("_more", "_tail")).otherwise(F.col("_tail")).alias("_tail"), F.when(text.isNull(), F.col("_next")).alias("_to")))
+    given = chain.select(F.col("_id").alias("_to"), F.col("text").alias("_text"))
+    out = linked(found).join(given, "_to", "left").withColumn("text", F.coalesce("text", F.concat("_text", "_tail")))
+    return out.drop("_name", "_tail", "_id", "_to", "_text")
+
+
+def raw_calls(types: DataFrame, props: DataFrame | None = None, follow: bool = False) -> DataFrame:
     """(service, target, ord, dependency_type, file, line, code) of Feign clients, RestTemplate and WebClient calls.
-    `props`: (service, key, value) for placeholders."""
+    `props`: (service, key, value) for placeholders. With `follow`, addresses are also sought behind variables and fields that
+    other texts are set to; without it, only behind names of configured fields."""
     spark = types.sparkSession
     props = spark.createDataFrame([], "service string, key string, value string") if props is None else props.select("service", "key", "value")
     keyed = props.groupBy("service", "key").agg(F.max("value").alias("_v"))
@@ -241,15 +313,15 @@ def raw_calls(types: DataFrame, props: DataFrame | None = None) -> DataFrame:
     feign = placed(feign, "target").withColumn("target", t.normalize_service(F.col("target")))
 
     values = types.select("service", "path", F.explode("fields").alias("f")).withColumn("a", F.get(F.filter("f.annotations", lambda a: a["name"] == "Value"), F.lit(0))).filter("a is not null")
-    values = placed(values.select("service", "path", F.col("f.name").alias("val"), F.col("a.value").alias("value")), "value").groupBy("service", "val").agg(F.max_by("value", "path").alias("value"))
-    calls = types.select("service", "path", F.posexplode("calls").alias("pos", "c"))
+    values = placed(values.select("service", "path", F.col("f.name").alias("name"), F.col("a.value").alias("value")), "value").groupBy("service", "name").agg(F.max_by("value", "path").alias("value"))
+    calls = types.select("service", "path", F.col("name").alias("type"), F.posexplode("calls").alias("pos", "c"))
     rest = F.col("c.method").isin(REST_METHODS) & (F.col("c.receiver_type").isNull() | (F.col("c.receiver_type") == "RestTemplate"))
     web = (F.col("c.method").isin("uri", "create", "baseUrl")) & F.col("c.receiver_type").startswith("WebClient")
     calls = calls.withColumn("dependency_type", F.when(rest, "REST_TEMPLATE").when(web, "WEB_CLIENT")).filter("dependency_type is not null")
-    parts = calls.select("service", "path", "pos", "dependency_type", F.col("c.line").alias("line"), F.col("c.code").alias("code"), F.posexplode("c.url").alias("i", "p")).withColumn("val", F.col("p.val"))
-    parts = parts.join(values, ["service", "val"], "left").withColumn("text", F.when(F.col("p.kind") == "lit", F.col("val")).otherwise(F.col("value"))).filter("text is not null")
-    whole = parts.groupBy("service", "path", "pos", "dependency_type", "line", "code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("url"))
-    http = whole.select("service", t.service_of_url(F.col("url")).alias("target"), F.lit(0).alias("i"), "dependency_type", F.col("path").alias("file"), "line", "code")
+    uses = calls.select("service", "path", "type", "pos", "dependency_type", F.col("c.line").alias("line"), F.col("c.at").alias("at"), F.col("c.code").alias("code"), F.col("c.url").alias("parts"))
+    set_to = types.select("service", "path", F.col("name").alias("type"), F.inline("defs").alias("name", "at", "value")) if follow else None
+    whole = texts(uses, values, set_to)
+    http = whole.select("service", t.service_of_url(F.col("text")).alias("target"), F.col("pos").alias("i"), "dependency_type", F.col("path").alias("file"), "line", "code")
     found = feign.select(*http.columns).unionByName(http).filter("target is not null and target <> ''")
     kind = F.when(F.col("dependency_type") == "FEIGN_CLIENT", 0).when(F.col("dependency_type") == "REST_TEMPLATE", 1).otherwise(2)
     return found.withColumn("ord", F.struct(kind.alias("kind"), "file", "line", "i")).drop("i")

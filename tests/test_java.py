@@ -81,3 +81,52 @@ def test_job_states_stream_and_watch(spark, tmp_path):
     seen = []
     jobs.watch(spark, f"{tmp_path}/in", kind, lambda df, k: seen.append(df.count()), f"{tmp_path}/c2").awaitTermination(60)
     assert sum(seen) == 4
+
+
+CHAINS = """package a;
+class Caller {
+  @Value("${u.url:http://conf:1}") private String u;
+  private final String base = root + "/v1";
+  private String root = "http://root-svc:8080";
+  private String lost = somewhere();
+  RestTemplate rest;
+  void a() {
+    String one = "http://svc-" + "a:80";
+    String two = one + "/x" + id + "/y";
+    rest.getForObject(two, String.class);
+    two = "http://svc-b/z";
+    rest.getForObject(two + "/q", String.class);
+    rest.getForObject(this.base + "/orders", String.class);
+    rest.getForObject(u + "/a", String.class);
+    rest.getForObject(host + "/a", String.class);
+    rest.getForObject(lost + "/a", String.class);
+    String x0 = "http://deep/";
+    String x1 = x0; String x2 = x1; String x3 = x2 + "p"; String x4 = x3; String x5 = x4; String x6 = x5 + "q";
+    rest.getForObject(x6, String.class);
+    String loop = loop2; String loop2 = loop;
+    rest.getForObject(loop, String.class);
+    rest.getForObject("http://lit/" + id + "/end", String.class);
+  }
+}
+"""
+
+
+def test_addresses_behind_names(spark):
+    types = java.java_types(spark.createDataFrame([("s", "Caller.java", CHAINS), ("t", "Caller.java", CHAINS.replace("root-svc", "other-svc"))], "service string, path string, text string"))
+    called = lambda follow: {s: sorted((r.line, r.target) for r in java.raw_calls(types, follow=follow).filter(f"service = '{s}'").collect()) for s in "st"}
+    # Without following, literals and configured fields alone say where a call goes.
+    assert called(False)["s"] == [(15, "conf"), (23, "lit")]
+    want = [(11, "svc-a"), (13, "svc-b"), (14, "root-svc"), (15, "conf"), (20, "deep"), (23, "lit")]
+    got = called(True)
+    assert got["s"] == want and got["t"] == [(n, x.replace("root-svc", "other-svc")) for n, x in want]
+
+
+def test_texts_go_on_with_literals_only(spark):
+    kind = "service string, path string, type string, at int, parts array<struct<kind:string,val:string>>"
+    rows = [("s", "p", "T", 1, [("lit", "a"), ("ref", "x"), ("lit", "b")]), ("s", "p", "T", 2, [("ref", "v"), ("lit", "/c")]), ("s", "p", "T", 3, [("other", "f()"), ("lit", "/c")]), ("s", "p", "T", 4, []), ("s", "p", "T", 5, [("ref", "y")])]
+    uses = spark.createDataFrame(rows, kind)
+    values = spark.createDataFrame([("s", "v", "V")], "service string, name string, value string")
+    got = {r.at: r.text for r in java.texts(uses, values).collect()}
+    assert got == {1: "ab", 2: "V/c", 3: None, 4: None, 5: None}
+    defs = spark.createDataFrame([("s", "p", "T", "y", 9, [("ref", "v"), ("lit", "1")]), ("s", "p", "U", "y", 1, [("lit", "no")])], "service string, path string, type string, name string, at int, value array<struct<kind:string,val:string>>")
+    assert {r.at: r.text for r in java.texts(uses, values, defs).collect()} == got | {5: "V1"}
