@@ -145,10 +145,17 @@ def number_runs(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("analysis_number", F.row_number().over(Window.partitionBy("project_id").orderBy("created_at", "id")))
 
 
+def progress(completed: Column, total: Column) -> Column:
+    """Whole per cent of the services done; 0 where there are none."""
+    done, all_ = completed.cast("long"), total.cast("long")
+    return F.when(F.coalesce(all_, F.lit(0)) == 0, 0).otherwise(F.floor(done * 100 / all_)).cast("int")
+
+
 def job_state(events: DataFrame) -> DataFrame:
-    """(job_id, status, progress) from events (job_id, seq, status, completed, total): the last event, but nothing after CANCELLED counts."""
-    stop = events.filter("status = 'CANCELLED'").groupBy("job_id").agg(F.min("seq").alias("stop"))
-    live = events.join(stop, "job_id", "left").filter("stop is null or seq <= stop")
-    last = live.groupBy("job_id").agg(F.max_by(F.struct("status", "completed", "total"), "seq").alias("e"))
-    progress = F.when(F.coalesce("e.total", F.lit(0)) == 0, 0).otherwise(F.expr("e.completed * 100 div e.total"))
-    return last.select("job_id", "e.status", progress.cast("int").alias("progress"))
+    """(job_id, status, progress) of events (job_id, seq, status, completed, total), streaming or not: one aggregate
+    for each job, in which the first CANCELLED wins over all else, and the last event over the rest."""
+    event = F.struct("status", "completed", "total")
+    stopped = F.min_by(event, F.when(F.col("status") == "CANCELLED", F.col("seq")))
+    last = events.groupBy("job_id").agg(F.count_if(F.col("status") == "CANCELLED").alias("n"), stopped.alias("stopped"), F.max_by(event, "seq").alias("last"))
+    e = last.select("job_id", F.when(F.col("n") > 0, F.col("stopped")).otherwise(F.col("last")).alias("e"))
+    return e.select("job_id", "e.status", progress(F.col("e.completed"), F.col("e.total")).alias("progress"))
