@@ -125,14 +125,6 @@ def nano(m: Model, config: dict | None = None) -> DataFrame:
     return finding(small, "NANO_SERVICE", "MEDIUM", F.col("name"), F.array("name"), {"lines": F.col("lines_of_code"), "endpoints": F.col("number_of_endpoints")}, text)
 
 
-def tight_cohesion(methods: DataFrame) -> DataFrame:
-    """(run, service, class, tcc) from (run, service, class, method, fields): pairs of public methods that share a field, of all pairs; -1 for fewer than two."""
-    each = methods.groupBy(*RUN, "service", "class").agg(F.collect_list(F.struct("method", "fields")).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.greatest(F.size("m") - i - 1, F.lit(0))), lambda b: F.arrays_overlap(a["fields"], b["fields"]).cast("int"))))
-    shared = F.aggregate(pairs, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
-    return each.select(*RUN, "service", "class", F.when(F.size("m") < 2, -1.0).otherwise(shared / (F.size("m") * (F.size("m") - 1) / 2)).alias("tcc"))
-
-
 def god(m: Model, config: dict | None = None) -> DataFrame:
     """From class metrics (run, service, class, fields, public_methods, lines_of_code, domains, ctor_params, tcc, is_data_class)."""
     o = lambda k: option(config, "god_" + k)

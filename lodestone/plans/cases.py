@@ -13,6 +13,7 @@ from .. import api
 from ..functions import lines as scan
 from ..functions import text as t
 from ..operators import detectors, diff, graph, model, score
+from ..operators.cohesion import tight_cohesion
 from ..schema import RUN
 from ..sources import files
 from .lens import _BC, _LITERALS, _SCORE, DEPS, LINES, ORACLE_SQL, QUERIES, Tables, query  # noqa: F401  the registry is shared
@@ -46,7 +47,7 @@ def k4(spark, d):
     return _full(detectors.god(detectors.Model(v.services, v.deps, classes=classes(v))), "classes")
 
 
-_METHODS = """m AS (SELECT c_nationkey service, c_custkey % 5 class, c_custkey method, [c_custkey % 3, c_custkey % 7] fields FROM customer WHERE c_custkey < 150)"""
+_METHODS = """m AS (SELECT c_nationkey service, c_custkey % 5 class, c_custkey method, CASE WHEN c_custkey % 11 = 0 THEN [] ELSE [c_custkey % 13, c_custkey % 17] END fields FROM customer)"""
 
 
 @query("a16_tight_cohesion", f"""WITH {_METHODS}, p AS (SELECT a.service, a.class, len(list_intersect(a.fields, b.fields)) > 0 near FROM m a JOIN m b ON a.service = b.service AND a.class = b.class AND a.method < b.method),
@@ -55,8 +56,8 @@ SELECT CAST(n.service AS VARCHAR) service, CAST(n.class AS VARCHAR) AS class, ro
 def a16(spark, d):
     v = Tables(spark, d)
     k = F.col("c_custkey")
-    held = v.read("customer").filter(k < 150).select(F.col("c_nationkey").cast("string").alias("service"), (k % 5).cast("string").alias("class"), k.cast("string").alias("method"), F.array(k % 3, k % 7).alias("fields"))
-    return detectors.tight_cohesion(v.run(held)).select("service", "class", F.round("tcc", 6).alias("tcc"))
+    held = v.read("customer").select(F.col("c_nationkey").cast("string").alias("service"), (k % 5).cast("string").alias("class"), k.cast("string").alias("method"), F.when(k % 11 == 0, F.array().cast("array<int>")).otherwise(F.array(k % 13, k % 17)).alias("fields"))
+    return tight_cohesion(v.run(held), [*RUN, "service", "class"]).select("service", "class", F.round("tcc", 6).alias("tcc"))
 
 
 # -- chatty clients of services that no dependency has flagged ------------------------

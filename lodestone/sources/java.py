@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.cohesion import tight_cohesion
 from .stages import keep
 
 ANNOTATION = "struct<name:string,text:string,value:string>"
@@ -333,13 +334,13 @@ def class_metrics(types: DataFrame) -> DataFrame:
     getters = F.size(F.filter(public, lambda m: m["name"].rlike("^(get|set|is)") & (m["n_params"] <= 1)))
     domains = F.array_distinct(F.filter(F.transform("imports", t.import_domain), lambda d: d != "java.lang"))
     df = types.filter("kind = 'class' and not is_abstract and name <> ''").withColumn("p", public)
-    used = F.transform("p", lambda m: m["used"])
-    df = df.withColumn("u", used)
-    pairs = F.flatten(F.transform("u", lambda a, i: F.transform(F.slice("u", i + 2, F.greatest(F.size("u") - i - 1, F.lit(0))), lambda b: F.arrays_overlap(a, b).cast("int"))))
+    # A path may declare several types of one name, and a type several methods of one name.
+    keys = ["service", "path", "line"]
+    each = df.select(*keys, F.posexplode("p").alias("method", "m")).select(*keys, "method", F.col("m.used").alias("fields"))
+    df = df.join(tight_cohesion(each, keys), keys, "left").na.fill(-1.0, ["tcc"])
     n = F.size("p")
-    tcc = F.when(n < 2, -1.0).otherwise(F.aggregate(pairs, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) / (n * (n - 1) / 2))
     data = _has(F.col("annotations"), DATA_ANNOTATIONS) | F.lower("name").rlike(f"({DATA_SUFFIXES})$") | ((n >= 4) & (getters / F.greatest(n, F.lit(1)) > 0.6))
-    return df.select("service", F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("class"), F.size("fields").alias("fields"), n.alias("public_methods"), (F.col("end_line") - F.col("line") + 1).alias("lines_of_code"), F.size(domains).alias("domains"), "ctor_params", tcc.alias("tcc"), data.alias("is_data_class"))
+    return df.select("service", F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("class"), F.size("fields").alias("fields"), n.alias("public_methods"), (F.col("end_line") - F.col("line") + 1).alias("lines_of_code"), F.size(domains).alias("domains"), "ctor_params", "tcc", data.alias("is_data_class"))
 
 
 def client_types(types: DataFrame) -> DataFrame:
