@@ -24,12 +24,6 @@ class Analysis:
     result: DataFrame
 
 
-def database_code(props: DataFrame) -> DataFrame:
-    """(service, file, line, code) of the properties that name a database; properties have no line."""
-    held = props.filter(F.col("key").rlike(r"(?i)(datasource|mongodb|r2dbc).*(url|uri)$"))
-    return held.select("service", F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), F.concat_ws("=", "key", "value").alias("code"))
-
-
 def submodules(spark: SparkSession, root: str) -> DataFrame:
     """(dir) of build files that declare submodules."""
     held = files.contents(spark, root, "pom.xml").filter(F.contains("text", F.lit("<module>")) | F.contains("text", F.lit("<modules>")))
@@ -62,6 +56,7 @@ def analyze(spark: SparkSession, root: str, project: str = "project", project_id
     main = owned.filter(F.col("path").startswith("src/main/java/"))
     types = keep(java.java_types(main.select("service", "path", "text")))
     lines = keep(files.of_services(files.source_lines(texts), where))
+    configured = files.of_services(files.source_lines(files.contents(spark, root, "application.*")), where).filter(F.col("file").startswith("src/main/resources/"))
     props = keep(files.of_services(files.config_properties(files.contents(spark, root, "application.*")), where).withColumnRenamed("file", "path"))
     value = lambda k: props.filter(F.col("key") == k).groupBy("service").agg(F.min_by("value", "path").alias("v"))
 
@@ -81,7 +76,7 @@ def analyze(spark: SparkSession, root: str, project: str = "project", project_id
     deps = keep(resolved.select(*RUN, order.alias("id"), F.col("source_id").alias("source_service_id"), F.col("target_id").alias("target_service_id"), "dependency_type", "call_count", F.col("file").alias("evidence_file"), F.col("line").alias("evidence_line"), t.truncate(F.col("code"), 1000).alias("evidence_code"), F.col("target").alias("target_url")))
 
     named = keep(run(ends.join(found.select("service", F.col("id").alias("microservice_id")), "service")))
-    m = detectors.Model(services, deps, named, run(lines.filter(F.col("file").startswith("src/main/java/"))), run(java.class_metrics(types)), run(java.client_types(types)), run(database_code(props)))
+    m = detectors.Model(services, deps, named, run(lines.filter(F.col("file").startswith("src/main/java/"))), run(java.class_metrics(types)), run(java.client_types(types)), run(configured))
     findings = keep(detectors.detect(m, config, enabled))
 
     metrics = graph.run_metrics(services, deps)

@@ -4,21 +4,42 @@ and returns rows of FINDINGS; thresholds come with the call, else by default."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lines import hardcoded_urls, main_class
-from ..functions.lines import snippets as around
+from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, IllegalArgumentException, NumberFormatException, PythonException, SparkRuntimeException
+
+from ..functions.lines import hardcoded_urls
 from ..functions.text import is_gateway, truncate
 from ..schema import RUN, option
 from ..sources.stages import keep
-from . import graph
-
-FINDINGS = "project_id long, analysis_number int, pattern_type string, severity string, primary_service string, affected array<string>, details map<string,string>, cycle_length int, call_count int, shared_database_url string, description string, snippets array<struct<file:string,start_line:int,end_line:int,code:string>>"
-#: Pieces of code that a finding carries at most, and characters of one.
-MAX_SNIPPETS, MAX_CODE = 5, 500
+from . import evidence, graph
+
+FINDINGS = "project_id long, analysis_number int, pattern_type string, severity string, primary_service string, affected array<string>, details map<string,string>, cycle_length int, call_count int, shared_database_url string, description string, snippets array<" + evidence.SNIPPET + ">"
+#: Characters of a description.
+MAX_TEXT = 1000
+#: What is wrong with a detector's tables or rows; anything else, such as a lost machine or a full disk, ends the run.
+FAULTS = (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, IllegalArgumentException, NumberFormatException, PythonException,
+    SparkRuntimeException, ArithmeticError, AttributeError, KeyError, TypeError, ValueError,
+)
+# The sentences of findings.
+SAYS = {
+    "CYCLIC_DEPENDENCY": "Cyclic dependency detected: %s",
+    "SHARED_DATABASE": "Multiple services share the same database: %s",
+    "NANO_SERVICE": "Service '%s' is too small (%d LOC, %d endpoints) to justify operational overhead",
+    "GOD_SERVICE": "Service '%s' exhibits God Service characteristics: %s",
+    "GOD_CLASS": "class '%s' exceeds %d God Class metrics (%s)",
+    "CHATTY_SERVICE": "Excessive communication between '%s' and '%s' (%d calls detected). Fine-grained calls increase latency and coupling.",
+    "CHATTY_CLIENT": "Service '%s' contains chatty client '%s' with %d fine-grained HTTP methods. Each method makes a separate HTTP call instead of using a coarse-grained aggregate API.",
+    "HARDCODED_ENDPOINTS": "Service '%s' has %d hardcoded endpoint URL(s). Hardcoded URLs prevent dynamic service discovery and complicate deployment.",
+    "DISTRIBUTED_MONOLITH": "The system exhibits distributed monolith characteristics. Coupling coefficient: %.2f (%d/%d possible edges), %.0f%% of services are interconnected, %d shared database(s) detected. Services are tightly coupled and likely need coordinated deployments.",
+    "API_VERSIONING_ABSENCE": "Service '%s' has %d endpoint(s) with no API versioning strategy. Without versioning, breaking changes cannot be managed gracefully.",
+    "WRONG_CUTS": "Bidirectional dependency between '%s' and '%s'. Mutual dependencies suggest these services are too tightly coupled and may have been incorrectly split.",
+    "ESB_MISUSE": "Service '%s' acts as a central mediator (ESB-like hub). It is called by %d service(s) (%.0f%%) and calls %d service(s) (%.0f%%), handling %d of %d total dependencies. Betweenness centrality: %.2f. This creates a single point of failure and bottleneck.",
+}
 #: A detector that failed leaves a finding of this type, so that the others' findings are not lost.
 FAILED = "DETECTOR_FAILED"
 
@@ -33,8 +54,10 @@ class Model:
     lines: DataFrame | None = None
     classes: DataFrame | None = None
     clients: DataFrame | None = None
-    #: (run, service, file, line, code): where services name their databases.
+    #: (run, service, file, line_no, text): lines of configuration files.
     config: DataFrame | None = None
+    #: Classes that do too much, with file and line, where classes have them.
+    too_much: DataFrame | None = None
 
 
 def finding(df: DataFrame, kind: str, severity: str, primary: Column, affected: Column, details: dict[str, Column], text: Column, **more: Column) -> DataFrame:
@@ -45,56 +68,12 @@ def finding(df: DataFrame, kind: str, severity: str, primary: Column, affected:
         (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("details"),
         more.get("cycle_length", null("int")).cast("int").alias("cycle_length"), more.get("call_count", null("int")).cast("int").alias("call_count"),
         more.get("shared_database_url", null("string")).alias("shared_database_url"), text.alias("description"),
-        F.lit(None).cast("array<struct<file:string,start_line:int,end_line:int,code:string>>").alias("snippets"),
+        F.lit(None).cast(f"array<{evidence.SNIPPET}>").alias("snippets"),
     )
 
 
-def edge_code(m: Model) -> DataFrame:
-    """(run, service, file, line, code): the calls of each service to others, the last of each pair of services."""
-    cols = [c for c in ("evidence_line",) if c in m.deps.columns]
-    line = F.col("evidence_line") if cols else F.lit(None)
-    last = m.deps.groupBy(*RUN, F.col("source_service_id").alias("id"), "target_service_id").agg(F.max_by(F.struct(F.col("evidence_file").alias("file"), line.cast("int").alias("line"), F.col("evidence_code").alias("code")), "id").alias("e"))
-    return _named(last, m.services, service="id").select(*RUN, "service", "e.file", "e.line", "e.code").filter("code is not null")
-
-
-def main_code(m: Model) -> DataFrame:
-    """(run, service, file, line, code): the head of the main class, or of the first file, of each service."""
-    each = m.lines.withColumn("service", F.struct(*RUN, F.col("service").alias("name")))
-    head = main_class(each).join(each, ["service", "file"]).filter(F.col("line_no") <= 10)
-    found = head.groupBy("service", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("code"))
-    return found.select("service.project_id", "service.analysis_number", F.col("service.name").alias("service"), "file", F.lit(1).alias("line"), "code")
-
-
-def line_code(m: Model, pattern: str) -> DataFrame:
-    """(run, service, file, line, code): lines that match, with three lines before and after each."""
-    each = m.lines.withColumn("service", F.struct(*RUN, F.col("service").alias("name")))
-    found = around(each.filter(F.col("text").rlike(pattern)), each)
-    return found.select("service.project_id", "service.analysis_number", F.col("service.name").alias("service"), "file", F.col("start_line").alias("line"), F.col("snippet").alias("code"))
-
-
-#: Where the code of a finding comes from: calls, heads of main classes, or lines of a kind.
-EVIDENCE: dict[str, Callable[[Model], DataFrame | None]] = {
-    **dict.fromkeys(["CYCLIC_DEPENDENCY", "CHATTY_SERVICE", "WRONG_CUTS", "ESB_MISUSE"], edge_code),
-    **dict.fromkeys(["NANO_SERVICE", "GOD_SERVICE"], lambda m: None if m.lines is None else main_code(m)),
-    "HARDCODED_ENDPOINTS": lambda m: None if m.lines is None else line_code(m, "https?://|localhost:|\\d{1,3}(\\.\\d{1,3}){3}:"),
-    "API_VERSIONING_ABSENCE": lambda m: None if m.lines is None else line_code(m, "@(Rest)?Controller"),
-    "SHARED_DATABASE": lambda m: None if m.config is None else m.config,
-}
-
-
-def with_snippets(found: DataFrame, code: DataFrame | None, cap: int = MAX_SNIPPETS, chars: int = MAX_CODE) -> DataFrame:
-    """`found` with the first `cap` pieces of `code` (run, service, file, line, code) of its affected services, cut to `chars`."""
-    if code is None or "evidence_code" in code.columns:
-        return found
-    # Each service brings `cap` pieces at most, and so a finding holds no more than that for each service it names.
-    piece = F.struct(F.col("service").alias("by"), "file", "line", truncate(F.col("code"), chars).alias("code"))
-    few = code.groupBy(*RUN, "service").agg(F.slice(F.array_sort(F.collect_set(piece)), 1, cap).alias("few"))
-    each = found.drop("snippets").withColumn("_f", F.xxhash64("pattern_type", "primary_service", "affected", "description"))
-    named = each.select(*RUN, "_f", F.explode("affected").alias("service")).join(few, [*RUN, "service"])
-    taken = named.groupBy(*RUN, "_f").agg(F.slice(F.array_distinct(F.array_sort(F.flatten(F.collect_list("few")))), 1, cap).alias("few"))
-    lines = lambda x: F.size(F.split(x["code"], "\n"))
-    shape = F.transform("few", lambda x: F.struct(x["file"].alias("file"), x["line"].alias("start_line"), (x["line"] + lines(x) - 1).alias("end_line"), x["code"].alias("code")))
-    return each.join(taken, [*RUN, "_f"], "left").withColumn("snippets", shape).drop("_f", "few").select(*found.columns)
+def says(kind: str, *values) -> Column:
+    return F.format_string(SAYS[kind], *values)
 
 
 def _named(df: DataFrame, services: DataFrame, **ids: str) -> DataFrame:
@@ -109,45 +88,52 @@ def cyclic(m: Model, config: dict | None = None) -> DataFrame:
     named = _named(graph.scc(m.deps), m.services, name="id")
     groups = named.groupBy(*RUN, "component").agg(F.sort_array(F.collect_list("name")).alias("names"))
     ring = F.concat_ws(" -> ", "names", F.get("names", F.lit(0)))
-    return finding(groups, "CYCLIC_DEPENDENCY", "CRITICAL", F.get("names", F.lit(0)), F.col("names"), {"cycle": ring}, F.concat(F.lit("Cycle: "), ring), cycle_length=F.size("names"))
+    return finding(groups, "CYCLIC_DEPENDENCY", "CRITICAL", F.get("names", F.lit(0)), F.col("names"), {"cycle": ring}, says("CYCLIC_DEPENDENCY", ring), cycle_length=F.size("names"))
 
 
 def shared_database(m: Model, config: dict | None = None) -> DataFrame:
     held = m.services.filter(F.col("datasource_url").isNotNull() & ~F.col("datasource_url").rlike(r"^\s*$"))
     groups = held.groupBy(*RUN, "datasource_url").agg(F.sort_array(F.collect_list("name")).alias("names")).filter(F.size("names") > 1)
-    text = F.format_string("%d services use one database", F.size("names"))
+    text = says("SHARED_DATABASE", "datasource_url")
     return finding(groups, "SHARED_DATABASE", "HIGH", F.get("names", F.lit(0)), F.col("names"), {"url": F.col("datasource_url")}, text, shared_database_url=F.col("datasource_url"))
 
 
 def nano(m: Model, config: dict | None = None) -> DataFrame:
     small = m.services.filter((F.col("lines_of_code") < option(config, "nano_max_loc")) & (F.col("number_of_endpoints") <= option(config, "nano_max_endpoints")))
-    text = F.format_string("%d lines and %d endpoints", "lines_of_code", "number_of_endpoints")
+    text = says("NANO_SERVICE", "name", "lines_of_code", "number_of_endpoints")
     return finding(small, "NANO_SERVICE", "MEDIUM", F.col("name"), F.array("name"), {"lines": F.col("lines_of_code"), "endpoints": F.col("number_of_endpoints")}, text)
 
 
+def god_classes(m: Model, config: dict | None = None) -> DataFrame:
+    """Classes that do too much, with `over`, the measures in which they do."""
+    o = lambda k: option(config, "god_" + k)
+    more = lambda name, column, k: F.when(F.col(column) >= o(k), F.format_string(f"{name}=%d (>={o(k)})", column))
+    loose = F.when((F.col("tcc") >= 0) & (F.col("tcc") < o("tcc")), F.format_string(f"TCC=%.2f (<{o('tcc'):.2f})", F.col("tcc").cast("double")))
+    tests = F.array(
+        more("fields", "fields", "fields"), more("publicMethods", "public_methods", "methods"), more("LOC", "lines_of_code", "loc"),
+        more("importDomains", "domains", "domains"), more("constructorParams", "ctor_params", "ctor_params"), loose,
+    )
+    return m.classes.filter(~F.col("is_data_class")).withColumn("over", F.filter(tests, lambda x: x.isNotNull())).filter(F.size("over") >= o("min_metrics"))
+
+
 def god(m: Model, config: dict | None = None) -> DataFrame:
     """From class metrics (run, service, class, fields, public_methods, lines_of_code, domains, ctor_params, tcc, is_data_class)."""
-    o = lambda k: option(config, "god_" + k)
-    tests = {
-        "fields": F.col("fields") >= o("fields"), "methods": F.col("public_methods") >= o("methods"), "loc": F.col("lines_of_code") >= o("loc"),
-        "domains": F.col("domains") >= o("domains"), "params": F.col("ctor_params") >= o("ctor_params"), "tcc": (F.col("tcc") >= 0) & (F.col("tcc") < o("tcc")),
-    }
-    over = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in tests.items()]), lambda x: x.isNotNull())
-    found = m.classes.filter(~F.col("is_data_class")).withColumn("over", over).filter(F.size("over") >= o("min_metrics"))
-    each = found.groupBy(*RUN, "service").agg(F.sort_array(F.collect_list("class")).alias("classes"))
-    text = F.format_string("%d classes do too much", F.size("classes"))
-    return finding(each, "GOD_SERVICE", "HIGH", F.col("service"), F.array("service"), {"classes": F.array_join("classes", ",")}, text)
+    found = god_classes(m, config).withColumn("says", says("GOD_CLASS", "class", F.size("over"), F.array_join("over", ", ")))
+    each = found.groupBy(*RUN, "service").agg(F.array_sort(F.collect_list(F.struct("class", "says"))).alias("c"))
+    text = says("GOD_SERVICE", "service", F.array_join("c.says", "; "))
+    capped = F.when(F.length(text) > MAX_TEXT, F.concat(F.left(text, F.lit(MAX_TEXT - 3)), F.lit("..."))).otherwise(text)
+    return finding(each, "GOD_SERVICE", "HIGH", F.col("service"), F.array("service"), {"classes": F.array_join("c.class", ",")}, capped)
 
 
 def chatty(m: Model, config: dict | None = None) -> DataFrame:
     least = option(config, "chatty_min_calls")
     rows = _named(m.deps.filter(F.col("call_count") >= least), m.services, source="source_service_id", target="target_service_id")
-    by_row = finding(rows, "CHATTY_SERVICE", "HIGH", F.col("source"), F.array("source", "target"), {"type": F.lit("dependency")}, F.format_string("%s calls %s %d times", "source", "target", "call_count"), call_count=F.col("call_count"))
+    by_row = finding(rows, "CHATTY_SERVICE", "HIGH", F.col("source"), F.array("source", "target"), {"type": F.lit("dependency")}, says("CHATTY_SERVICE", "source", "target", "call_count"), call_count=F.col("call_count"))
     if m.clients is None:
         return by_row
     # Client types (run, service, type, calls) of services that no row has flagged.
     rest = m.clients.filter(F.col("calls") >= least).join(rows.select(*RUN, F.col("source").alias("service")), [*RUN, "service"], "left_anti")
-    by_type = finding(rest, "CHATTY_SERVICE", "HIGH", F.col("service"), F.array("service"), {"type": F.col("type")}, F.format_string("%s makes %d calls", "type", "calls"), call_count=F.col("calls"))
+    by_type = finding(rest, "CHATTY_SERVICE", "HIGH", F.col("service"), F.array("service"), {"type": F.col("type")}, says("CHATTY_CLIENT", "service", "type", "calls"), call_count=F.col("calls"))
     return by_row.unionByName(by_type)
 
 
@@ -156,7 +142,7 @@ def hardcoded(m: Model, config: dict | None = None) -> DataFrame:
     runs = [c for c in RUN if c in m.lines.columns]
     urls = hardcoded_urls(m.lines) if not runs else hardcoded_urls(m.lines.withColumn("service", F.struct(*runs, F.col("service").alias("name")))).select(F.col("service.project_id"), F.col("service.analysis_number"), F.col("service.name").alias("service"), "file", "line_no", "pos", "url")
     each = urls.groupBy(*runs, "service").agg(F.array_sort(F.collect_list(F.struct("file", "line_no", "pos", "url"))).alias("u"))
-    text = F.format_string("%d fixed addresses", F.size("u"))
+    text = says("HARDCODED_ENDPOINTS", "service", F.size("u"))
     return finding(each, "HARDCODED_ENDPOINTS", "MEDIUM", F.col("service"), F.array("service"), {"urls": F.array_join("u.url", ",")}, text)
 
 
@@ -167,7 +153,7 @@ def monolith(m: Model, config: dict | None = None) -> DataFrame:
     high, many, some = (option(config, "monolith_" + k) for k in ("coupling", "connected", "moderate"))
     found = runs.filter((c > high) | ((r > many) & (F.col("shared") > 0)) | ((r > many) & (c > some)))
     names = m.services.groupBy(*RUN).agg(F.sort_array(F.collect_list("name")).alias("names"))
-    text = F.format_string("coupling %.2f, %.0f%% of services connected", c, r * 100)
+    text = says("DISTRIBUTED_MONOLITH", c, "n_edges", F.col("n_services") * (F.col("n_services") - 1), r * 100, "shared")
     return finding(found.join(names, RUN), "DISTRIBUTED_MONOLITH", "CRITICAL", F.lit(None).cast("string"), F.col("names"), {"coupling": F.round(c, 6), "connected": F.round(r, 6), "shared": F.col("shared")}, text)
 
 
@@ -175,12 +161,12 @@ def api_versioning(m: Model, config: dict | None = None) -> DataFrame:
     versioned = F.coalesce(F.col("has_versioning"), F.lit(False)) | (F.trim(F.coalesce("api_version", F.lit(""))) != "")
     each = m.endpoints.groupBy(*RUN, F.col("microservice_id").alias("id")).agg(F.count("*").alias("total"), F.count_if(versioned).alias("versioned"), F.slice(F.array_distinct(F.sort_array(F.collect_set("controller_class"))), 1, 3).alias("controllers"))
     flagged = _named(each.filter("versioned = 0"), m.services, name="id")
-    return finding(flagged, "API_VERSIONING_ABSENCE", "MEDIUM", F.col("name"), F.array("name"), {"endpoints": F.col("total")}, F.format_string("%d endpoints without a version", "total"))
+    return finding(flagged, "API_VERSIONING_ABSENCE", "MEDIUM", F.col("name"), F.array("name"), {"endpoints": F.col("total"), "controllers": F.array_join("controllers", ",")}, says("API_VERSIONING_ABSENCE", "name", "total"))
 
 
 def wrong_cuts(m: Model, config: dict | None = None) -> DataFrame:
     pairs = _named(graph.reciprocal(m.deps), m.services, first="a", second="b")
-    return finding(pairs, "WRONG_CUTS", "HIGH", F.col("first"), F.array("first", "second"), {}, F.format_string("%s and %s call each other", "first", "second"))
+    return finding(pairs, "WRONG_CUTS", "HIGH", F.col("first"), F.array("first", "second"), {}, says("WRONG_CUTS", "first", "second"))
 
 
 def esb(m: Model, config: dict | None = None) -> DataFrame:
@@ -196,7 +182,9 @@ def esb(m: Model, config: dict | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     affected = F.array_distinct(F.concat(F.array("name"), F.coalesce("caller_names", none), F.coalesce("callee_names", none)))
     details = {"callers": F.col("callers"), "callees": F.col("callees"), "betweenness": F.round("bc_norm", 6), "mediator": F.round("mediator_ratio", 6)}
-    return finding(found, "ESB_MISUSE", "HIGH", F.col("name"), affected, details, F.format_string("%s mediates %.0f%% of dependencies", "name", F.col("mediator_ratio") * 100))
+    through = F.col("in_degree") + F.col("out_degree")
+    text = says("ESB_MISUSE", "name", "callers", F.col("caller_ratio") * 100, "callees", F.col("callee_ratio") * 100, through, "n_rows", F.col("bc_norm"))
+    return finding(found, "ESB_MISUSE", "HIGH", F.col("name"), affected, details, text)
 
 
 DETECTORS: dict[str, Callable[[Model, dict | None], DataFrame]] = {
@@ -210,12 +198,13 @@ def detect(m: Model, config: dict | None = None, enabled: set[str] | None = None
     """All findings of the enabled detectors whose tables the model has, with code. A detector that cannot be planned or
     fails on its rows leaves one DETECTOR_FAILED finding, and no more; the others' findings stay."""
     chosen = []
+    if m.classes is not None and {"file", "line"} <= set(m.classes.columns):
+        m = replace(m, too_much=god_classes(m, config))
     for kind, detector in DETECTORS.items():
         if (enabled is None or kind in enabled) and getattr(m, _NEEDS.get(kind, "services")) is not None:
             try:
-                code = EVIDENCE[kind](m) if kind in EVIDENCE else None
-                chosen.append(keep(with_snippets(detector(m, config), code)))
-            except Exception as e:  # noqa: BLE001  whatever a detector raises is told, and does not stop the others
+                chosen.append(keep(evidence.attach(detector(m, config), m, kind)))
+            except FAULTS as e:
                 runs = m.services.select(*RUN).distinct()
                 chosen.append(finding(runs, FAILED, "LOW", F.lit(None).cast("string"), F.array().cast("array<string>"), {"detector": F.lit(kind)}, truncate(F.lit(f"{kind}: {type(e).__name__}: {str(e)[:200]}"), 300)))
     if not chosen:

@@ -17,6 +17,7 @@ from ..operators.cohesion import tight_cohesion
 from ..schema import RUN
 from ..sources import files
 from .lens import _BC, _LITERALS, _SCORE, DEPS, LINES, ORACLE_SQL, QUERIES, Tables, query  # noqa: F401  the registry is shared
+from .shown import CLIENT, FIXED, GODS, PAIR
 
 
 def _full(df: DataFrame, *more: str, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -27,10 +28,6 @@ def _full(df: DataFrame, *more: str, columns: tuple[str, ...] = ()) -> DataFrame
 
 # -- god services -----------------------------------------------------------------
 
-_CLASSES = """c AS (SELECT p_brand service, concat('C', p_partkey) class, p_size fields, p_partkey % 60 methods, p_partkey * 37 % 2000 loc, p_size % 30 domains, p_partkey % 20 params,
- CASE WHEN p_partkey % 11 = 0 THEN -1 ELSE p_partkey % 11 / 10.0 END tcc, p_partkey % 7 = 0 data FROM part)"""
-
-
 def classes(v: Tables) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     return v.run(v.read("part").select(
@@ -39,9 +36,7 @@ def classes(v: Tables) -> DataFrame:
     ))
 
 
-@query("k4_god_service", f"""WITH {_CLASSES}, o AS (SELECT service, class, (fields >= 25)::INT + (methods >= 30)::INT + (loc >= 1000)::INT + (domains >= 20)::INT + (params >= 12)::INT + (tcc >= 0 AND tcc < 0.5)::INT n FROM c WHERE NOT data),
-g AS (SELECT service, string_agg(class, ',' ORDER BY class) classes, count(*) n FROM o WHERE n >= 3 GROUP BY 1)
-SELECT 'GOD_SERVICE' pattern_type, 'HIGH' severity, service, service affected, concat(n, ' classes do too much') description, classes FROM g""")
+@query("k4_god_service", GODS)
 def k4(spark, d):
     v = Tables(spark, d)
     return _full(detectors.god(detectors.Model(v.services, v.deps, classes=classes(v))), "classes")
@@ -66,8 +61,8 @@ _CLIENTS = "cl AS (SELECT n_name service, concat('T', c_custkey % 3) AS type, co
 
 
 @query("k5_chatty_clients", f"""WITH {DEPS}, {_CLIENTS}, r AS (SELECT a.n_name source, b.n_name target, cc FROM deps JOIN nation a ON a.n_nationkey = s JOIN nation b ON b.n_nationkey = t WHERE cc >= 125)
-SELECT 'CHATTY_SERVICE' pattern_type, 'HIGH' severity, source service, concat(source, ',', target) affected, concat(source, ' calls ', target, ' ', cc, ' times') description, 'dependency' AS type, CAST(cc AS INTEGER) call_count FROM r
-UNION ALL SELECT 'CHATTY_SERVICE', 'HIGH', service, service, concat(type, ' makes ', calls, ' calls'), type, CAST(calls AS INTEGER) FROM cl WHERE calls >= 125 AND service NOT IN (SELECT source FROM r)""")
+SELECT 'CHATTY_SERVICE' pattern_type, 'HIGH' severity, source service, concat(source, ',', target) affected, {PAIR} description, 'dependency' AS type, CAST(cc AS INTEGER) call_count FROM r
+UNION ALL SELECT 'CHATTY_SERVICE', 'HIGH', service, service, {CLIENT}, type, CAST(calls AS INTEGER) FROM cl WHERE calls >= 125 AND service NOT IN (SELECT source FROM r)""")
 def k5b(spark, d):
     v = Tables(spark, d)
     held = v.read("customer").join(v.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -124,7 +119,7 @@ def s18(spark, d):
     return scan.line_counts(files.of_services(files.source_lines(texts), services))
 
 
-@query("k6_hardcoded_urls", f"WITH {LINES}, {_LITERALS} SELECT 'HARDCODED_ENDPOINTS' pattern_type, 'MEDIUM' severity, service, service affected, concat(count(*), ' fixed addresses') description, string_agg(url, ',' ORDER BY line_no, pos) urls FROM u WHERE url <> '' GROUP BY 3")
+@query("k6_hardcoded_urls", f"WITH {LINES}, {_LITERALS} SELECT 'HARDCODED_ENDPOINTS' pattern_type, 'MEDIUM' severity, service, service affected, {FIXED} description, string_agg(url, ',' ORDER BY line_no, pos) urls FROM u WHERE url <> '' GROUP BY 3")
 def k6(spark, d):
     v = Tables(spark, d)
     return _full(detectors.hardcoded(detectors.Model(v.services, v.deps, lines=v.run(v.lines))), "urls")

@@ -340,7 +340,7 @@ def class_metrics(types: DataFrame) -> DataFrame:
     df = df.join(tight_cohesion(each, keys), keys, "left").na.fill(-1.0, ["tcc"])
     n = F.size("p")
     data = _has(F.col("annotations"), DATA_ANNOTATIONS) | F.lower("name").rlike(f"({DATA_SUFFIXES})$") | ((n >= 4) & (getters / F.greatest(n, F.lit(1)) > 0.6))
-    return df.select("service", F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("class"), F.size("fields").alias("fields"), n.alias("public_methods"), (F.col("end_line") - F.col("line") + 1).alias("lines_of_code"), F.size(domains).alias("domains"), "ctor_params", "tcc", data.alias("is_data_class"))
+    return df.select("service", F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("class"), F.size("fields").alias("fields"), n.alias("public_methods"), (F.col("end_line") - F.col("line") + 1).alias("lines_of_code"), F.size(domains).alias("domains"), "ctor_params", "tcc", data.alias("is_data_class"), F.col("path").alias("file"), "line")
 
 
 def client_types(types: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ import os
 
 import duckdb
 import pytest
-from lodestone.plans import cases, lens
+from lodestone.plans import cases, lens, shown
 
 from test_catalogue import _plain
 
 DATA = "/root/testdata/sf0.01"
-NAMES = sorted(n for n in lens.ORACLE_SQL if not (n[0] == "q" and n[1].isdigit()) and lens.QUERIES[n].__module__ in (lens.__name__, cases.__name__))
+NAMES = sorted(n for n in lens.ORACLE_SQL if not (n[0] == "q" and n[1].isdigit()) and lens.QUERIES[n].__module__ in (lens.__name__, cases.__name__, shown.__name__))
 
 
 @pytest.fixture(scope="module")
