@@ -57,12 +57,10 @@ def unpack(archive: bytes | str, name: str, to: str, max_bytes: int = MAX_BYTES,
 
 
 def inventory(spark: SparkSession, root: str, project: str = "project") -> DataFrame:
-    """(project, path, dir, basename, size) of all files, empty ones too; listed by the driver, since scans leave empty files out."""
-    rows = []
-    for folder, _, names in os.walk(root):
-        at = "" if (r := os.path.relpath(folder, root)) == "." else r.replace(os.sep, "/")
-        rows += [(project, f"{at}/{n}".lstrip("/"), at, n, os.path.getsize(os.path.join(folder, n))) for n in sorted(names)]
-    return spark.createDataFrame(rows, "project string, path string, dir string, basename string, size long")
+    """(project, path, dir, basename, size) of all files, empty ones too, listed by executors."""
+    from .trees import listing
+
+    return listing(spark, root, project).drop("modified")
 
 
 def contents(spark: SparkSession, root: str, glob: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from lodestone.functions import lines as scan
 from lodestone.functions import text as t
 from lodestone.operators import detectors, diff, graph, model, score
+from lodestone.operators.cohesion import tight_cohesion
+from lodestone.schema import RUN
 from lodestone.sources import files
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ def test_attribute_detectors(spark):
 def test_god_service_and_cohesion(spark):
     own = [(1, 1, "s", "Big", f"m{i}", [f"f{i}"]) for i in range(30)] + [(1, 1, "s", "One", "m", ["x"]), (1, 1, "s", "Two", "a", ["x", "y"]), (1, 1, "s", "Two", "b", ["y"]), (1, 1, "s", "Two", "c", ["z"])]
     methods = spark.createDataFrame(own, "project_id long, analysis_number int, service string, class string, method string, fields array<string>")
-    tcc = {r["class"]: r.tcc for r in detectors.tight_cohesion(methods).collect()}
+    tcc = {r["class"]: r.tcc for r in tight_cohesion(methods, [*RUN, "service", "class"]).collect()}
     assert tcc["Big"] == 0 and tcc["One"] == -1 and tcc["Two"] == pytest.approx(1 / 3)
     kind = "project_id long, analysis_number int, service string, class string, fields int, public_methods int, lines_of_code int, domains int, ctor_params int, tcc double, is_data_class boolean"
     rows = [(1, 1, "s", "Big", 30, 30, 100, 1, 0, 0.0, False), (1, 1, "t", "CustomerDto", 30, 30, 100, 1, 0, 0.0, True), (1, 1, "u", "Calculator", 1, 2, 50, 1, 0, 1.0, False)]
