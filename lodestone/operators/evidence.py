@@ -96,7 +96,7 @@ def _urls(m) -> DataFrame:
 def _controllers(m) -> DataFrame:
     """For each of the first three controllers of a service, the first line with its mark, else its first line with more around it."""
     named = m.services.select(*RUN, F.col("id").alias("microservice_id"), F.col("name").alias("service"))
-    held = m.endpoints.join(named, [*RUN, "microservice_id"]).select(*RUN, "service", F.col("controller_class").alias("c")).filter("c is not null").distinct()
+    held = m.endpoints.select(*RUN, "microservice_id", "controller_class").join(named, [*RUN, "microservice_id"]).select(*RUN, "service", F.col("controller_class").alias("c")).filter("c is not null").distinct()
     order = Window.partitionBy(*RUN, "service").orderBy("c")
     few = held.withColumn("_n", F.row_number().over(order)).filter("_n <= 3").withColumn("file", F.concat(F.lit(_FILES), class_file(F.col("c"))))
     marked = F.min(F.when(F.col("text").rlike(CONTROLLER), F.col("line_no"))).alias("hit")

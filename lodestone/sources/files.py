@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import RUN
+
 MAX_UPLOAD, MAX_BYTES, MAX_ENTRIES, MAX_DEPTH = 500 << 20, 1 << 30, 100_000, 50
 
 
@@ -178,5 +180,25 @@ def smell_reports(files: DataFrame) -> DataFrame:
 
 
 def sink(df: DataFrame, path: str) -> None:
-    """Appends model rows, one folder for each project and run."""
-    df.write.partitionBy("project_id", "analysis_number").mode("append").parquet(path)
+    """Writes model rows, one folder for each project and run. The runs that `df` holds are replaced, all others stay, so a job
+    that is started again leaves what one that ended would have left."""
+    df.write.partitionBy(*RUN).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def stored_runs(spark: SparkSession, path: str, project_id: int | None = None, analysis_number: int | None = None) -> DataFrame:
+    """Rows that `sink` wrote: of one run, of all runs of a project, or of all; folders of other runs are not read."""
+    rows = spark.read.parquet(path)
+    for column, value in zip(RUN, (project_id, analysis_number)):
+        rows = rows if value is None else rows.filter(F.col(column) == value)
+    return rows.withColumns({"project_id": F.col("project_id").cast("long"), "analysis_number": F.col("analysis_number").cast("int")})
+
+
+def drop_run(spark: SparkSession, path: str, project_id: int, analysis_number: int) -> None:
+    """Takes a run's folder away, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/project_id={project_id}/analysis_number={analysis_number}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

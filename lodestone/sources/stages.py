@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,21 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """`df` as it is now, without the plan that made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Stored:
-    """A table written to the shared folder as Parquet, its number of rows `n`, and counts of rows for which conditions hold,
-    all from the one job that writes it."""
+    """A table written to the shared folder as Parquet, with its number of rows `n`, and counts of rows for which conditions hold,
+    asked for when they are first wanted."""
 
     def __init__(self, df: DataFrame, **counts: Column) -> None:
-        spark, seen = df.sparkSession, Observation()
+        spark = df.sparkSession
         path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-        told = [F.count_if(c).alias(k) for k, c in counts.items()]
-        df.observe(seen, F.count(F.lit(1)).alias("n"), *told).write.parquet(path)
-        self.counts = seen.get
-        self.n = self.counts["n"]
+        df.write.parquet(path)
         self.df = spark.read.schema(df.schema).parquet(path)
+        self._conditions = counts
+
+    @functools.cached_property
+    def counts(self) -> dict[str, int]:
+        told = [F.count_if(c).alias(k) for k, c in self._conditions.items()]
+        return self.df.agg(F.count(F.lit(1)).alias("n"), *told).first().asDict()
+
+    @property
+    def n(self) -> int:
+        return self.counts["n"]
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """`df` as it is now, without the plan that made it."""
+    return Stored(df).df

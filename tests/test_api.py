@@ -21,8 +21,10 @@ def tree(root):
 
 
 def test_source_tree_to_score_and_comparison(spark, tmp_path):
-    tree(tmp_path)
-    one = api.analyze(spark, str(tmp_path), "shop")
+    tree(tmp_path / "tree")
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    one, read, number = api.reanalyze(spark, str(root), store, "shop")
+    assert number == 1 and read.n_read > 10
     got = {r.name: r for r in one.services.collect()}
     assert set(got) == {"order-service", "payment-service", "user-service"}
     assert all(r.detection_signal == "framework-entry-point" and r.datasource_url == "jdbc:pg://h/shared" and r.number_of_endpoints == 1 for r in got.values())
@@ -36,7 +38,7 @@ def test_source_tree_to_score_and_comparison(spark, tmp_path):
     points = 8 + 5 + 5 + 3 * 3 + 3 * 3 + 2 * 5  # cycle, wrong cut, database, addresses, versions, mediators
     assert (r.services_analyzed, r.cycle_count, r.total_dependencies, r.anti_patterns) == (3, 1, 2, max(0, 40 - points))
     assert 0 <= r.health_score <= 100 and r.dependency_graph_json.startswith('{"nodes"')
-    two = api.analyze(spark, str(tmp_path), "shop", analysis_number=2, enabled={"CYCLIC_DEPENDENCY", "NANO_SERVICE"})
-    both = api.compare(one.findings.unionByName(two.findings), one.result.unionByName(two.result))
-    last = both.filter("analysis_number = 2").first()
+    two, read, number = api.reanalyze(spark, str(root), store, "shop", enabled={"CYCLIC_DEPENDENCY", "NANO_SERVICE"})
+    assert number == 2 and (read.n_read, read.n_parsed) == (0, 0) and two.services.count() == 3
+    last = api.history(spark, store, 1).filter("analysis_number = 2").first()
     assert (last.n_unchanged, last.n_new, last.n_resolved) == (4, 0, len(kinds) - 4) and last.summary.startswith("Score improved by")
