@@ -42,7 +42,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     # A line of very many documents is dealt to SALTS tasks, and waits there in each.
     often = often.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     salted = lines.withColumn("s", F.pmod(F.xxhash64("_id", "_text"), F.lit(SALTS)).cast("int"))
-    gone = salted.join(often, ["h", "s"]).groupBy("_id", "_text").agg(F.collect_list("i").alias("_gone"))
+    gone = salted.join(often, ["h", "s"]).groupBy("_id", "_text").agg(F.collect_set("i").alias("_gone"))
     rows = docs.withColumns({"_t": text, "_k": F.xxhash64(text)})
     joined = rows.join(gone.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(gone["_id"]) & (F.col("_k") == F.col("_text")), "left").drop("_id", "_text", "_k")
     joined = joined.withColumn("_lines", F.split("_t", "\n", -1))

@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import line_dedup, quality, sharding
 
 WS = " \t\n\x0b\x0c\r"
@@ -26,6 +28,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_repeated_rows(spark):
+    text = "\n".join(f"line {i}" for i in range(200))
+    docs = spark.range(1500).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text + "\nown").alias("text")).unionByName(spark.createDataFrame([(1, "line 7\nelse")], "doc_id long, text string"))
+    out = line_dedup.line_dedup(docs, 1501)  # one line alone is in so many rows
+    assert out.groupBy("n_lines", "n_dropped", F.length("kept").alias("k")).count().count() == 2
+    assert out.filter("doc_id = 1").first().kept == "else" and out.filter("doc_id is null and n_dropped = 1").count() == 1500
+
+
 def test_quality_measures_equal_brute_force(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice(["a", "b", "é"]) + rng.choice(" \n\t") * rng.randrange(3) + rng.choice(["", "#", "|"]) for _ in range(rng.randrange(60))) for _ in range(60)] + [None, "", " \n ", "x\nx\nx"]
