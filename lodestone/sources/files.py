@@ -87,6 +87,15 @@ def of_services(paths: DataFrame, services: DataFrame) -> DataFrame:
     return joined.withColumn("file", F.when(F.col("dir") == "", F.col("path")).otherwise(F.expr("substring(path, length(dir) + 2)"))).drop("path", "dir")
 
 
+def plain_text(value) -> str:
+    """A value as text: [a, b] for lists, {k=v} for maps in them, true and false, null."""
+    if isinstance(value, list):
+        return f"[{', '.join(map(plain_text, value))}]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{k}={plain_text(v)}" for k, v in value.items()) + "}"
+    return "null" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def flatten(value, prefix: str = "") -> dict[str, str]:
     """Nested maps as dotted keys; lists as text, nulls left out."""
     out: dict[str, str] = {}
@@ -95,7 +104,7 @@ def flatten(value, prefix: str = "") -> dict[str, str]:
         if isinstance(v, dict):
             out |= flatten(v, key + ".")
         elif v is not None:
-            out[key] = str(v).lower() if isinstance(v, bool) else str(v)
+            out[key] = plain_text(v)
     return out
 
 

@@ -220,6 +220,11 @@ def test_sources(spark, tmp_path):
     assert sorted((r.category, r.smell_type, r.class_name, r.severity) for r in files.smell_reports(reports).collect()) == [("design", "Broken Hierarchy", "A,B", "MEDIUM"), ("implementation", "Magic Number", "k", "LOW")]
 
 
+def test_yaml_values_as_text():
+    text = "a:\n  - x\n  - true\n  - k: v\n    n:\nb: off\nc: {d: [1, [2]]}\ne:\n"
+    assert files.parse_yaml(text) == {"a": "[x, true, {k=v, n=null}]", "b": "false", "c.d": "[1, [2]]"}
+
+
 def test_job_states(spark):
     rows = [(1, 1, "PENDING", 0, 0), (1, 2, "RUNNING", 3, 5), (2, 1, "RUNNING", 0, 0), (2, 2, "CANCELLED", 1, 2), (2, 3, "COMPLETED", 2, 2)]
     got = {r.job_id: (r.status, r.progress) for r in model.job_state(spark.createDataFrame(rows, "job_id int, seq int, status string, completed int, total int")).collect()}
